@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from pagestrata.llm import encoding, leaks, repeated_lines, splitting
+from pagestrata.llm import boilerplate, encoding, leaks, page_quality, repeated_lines, splitting
 from pagestrata.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.boilerplate_lines(table(spark, folder, "page_bodies"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return page_quality.pages_without_prose(table(spark, folder, "page_bodies"))
+
+
+def p2_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return page_quality.page_statistics(table(spark, folder, "page_bodies"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_pieces(spark, folder).select("draft_id").distinct()
 
@@ -73,6 +84,9 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_statistics": p2_statistics,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
