@@ -14,6 +14,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 CATEGORIES = ("abusive", "hateful", "sexual")
 WINDOW, STRIDE, SHORT = 28, 14, 5
 BUCKETS, WORD_DIM, CHAR_DIM, STATES, ATTENTION = 8192, 16, 16, 16, 16
-THRESHOLD = 0.8
+THRESHOLD = 0.9
 #: A worker forgets the inputs of its words when it holds so many.
 CACHE_WORDS = 120_000
 WEIGHTS = os.path.join(os.path.dirname(__file__), "harm_weights.npz")
@@ -42,17 +43,23 @@ _APART = re.compile(r"(?<![\w])[^\W\d_](?:([ .\-_*])[^\W\d_])(?:\1[^\W\d_])+(?!\
 _EMPHASIS = re.compile(r"(?<![^\W_])(?<!\*)\*+|\*+(?![^\W_]|\*)")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 _TOKEN = re.compile(r"@[\w-]+|[\w$!€@]*[*][\w*$!€@]*|[\w$€@][\w$!€@']*|[.!?…。！？\n]")
-_ENDS = frozenset(".!?…。！？")
+_ENDS = frozenset(".!?…。！？\n")
 _WIDE = re.compile("[぀-ヿ㐀-鿿가-힯]")
 _LATIN = re.compile("[a-z]")
 _OTHER = re.compile("[Ͱ-ӿԀ-ԯ]")
 _MIXED = re.compile(r"[^\W\d_].*[\d$@!€]|[\d$@!€].*[^\W\d_]")
 
 
-def normal_word(token: str) -> str:
-    """One token in its normal spelling."""
+@lru_cache(maxsize=200_000)
+def normal_word(token: str) -> str | list[str] | None:
+    """One token in its normal spelling; None for the end of a sentence, single characters for scripts without blanks."""
+    if token in _ENDS:
+        return None
+    token = _STRETCHED.sub(r"\1", token)
     if token.isalpha() and token.isascii():
         return token
+    if not token.isascii() and _WIDE.search(token):
+        return list(token)
     if token[0] == "@" and len(token) > 3 and token[1:].replace("-", "").isalnum():
         return "@"
     if not any(c.isalpha() for c in token):
@@ -78,17 +85,16 @@ def sentences(text: str) -> list[list[str]]:
     if "*" in text:
         text = _EMPHASIS.sub(" ", text)
     text = _APART.sub(lambda m: m.group(0).replace(m.group(1), ""), text)
-    text = _STRETCHED.sub(r"\1", text)
     out, now = [], []
-    for token in _TOKEN.findall(text):
-        if token == "\n" or token in _ENDS:
+    for word in map(normal_word, _TOKEN.findall(text)):
+        if word is None:
             if now:
                 out.append(now)
                 now = []
-        elif not token.isascii() and _WIDE.search(token):
-            now += [c for c in token]
+        elif word.__class__ is list:
+            now += word
         else:
-            now.append(normal_word(token))
+            now.append(word)
     if now:
         out.append(now)
     return out
@@ -127,7 +133,6 @@ class Scorer:
         self.w = {k: v.astype(np.float32) for k, v in weights.items()}
         self.rows: dict[str, int] = {}
         self.inputs = np.zeros((1024, 6 * STATES), dtype=np.float32)
-        self.seen: dict[tuple[str, ...], np.ndarray] = {}
 
     def _row(self, word: str) -> int:
         row = len(self.rows)
@@ -141,45 +146,52 @@ class Scorer:
         self.rows[word] = row
         return row
 
-    def _run(self, inputs: np.ndarray, recurrent: np.ndarray) -> np.ndarray:
-        n, steps = inputs.shape[:2]
-        h = np.zeros((n, STATES), dtype=np.float32)
-        out = np.empty((n, steps, STATES), dtype=np.float32)
-        for t in range(steps):
+    def _run(self, inputs: np.ndarray, recurrent: np.ndarray, out: np.ndarray, order: range) -> None:
+        k = STATES
+        h = np.zeros((len(inputs), k), dtype=np.float32)
+        for t in order:
             x, a = inputs[:, t], h @ recurrent
-            zr = sigmoid(x[:, : 2 * STATES] + a[:, : 2 * STATES])
-            z = zr[:, :STATES]
-            new = np.tanh(x[:, 2 * STATES :] + zr[:, STATES:] * a[:, 2 * STATES :])
-            h = new + z * (h - new)
+            zr = x[:, : 2 * k] + a[:, : 2 * k]
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            new = zr[:, k:] * a[:, 2 * k :]
+            new += x[:, 2 * k :]
+            np.tanh(new, out=new)
+            h = h - new
+            h *= zr[:, :k]
+            h += new
             out[:, t] = h
-        return out
 
     def score(self, found: list[tuple[str, ...]]) -> np.ndarray:
         """The probabilities of none and of each category, for each window."""
         if len(self.rows) > CACHE_WORDS:
             self.rows.clear()
         rows, w = self.rows, self.w
-        out = np.zeros((len(found), 1 + len(CATEGORIES)), dtype=np.float32)
-        by_length: dict[int, list[int]] = defaultdict(list)
-        for i, words in enumerate(found):
-            by_length[len(words)].append(i)
-        for length, which in by_length.items():
-            for low in range(0, len(which), 2048):
-                part = which[low : low + 2048]
-                flat = [rows.get(x, -1) for i in part for x in found[i]]
+        place: dict[tuple[str, ...], int] = {}
+        at = [place.setdefault(words, len(place)) for words in found]  # a repeated window is scored once
+        out = np.zeros((len(place), 1 + len(CATEGORIES)), dtype=np.float32)
+        by_length: dict[int, list[tuple[str, ...]]] = defaultdict(list)
+        for words in place:
+            by_length[len(words)].append(words)
+        for length, same in by_length.items():
+            for low in range(0, len(same), 2048):
+                part = same[low : low + 2048]
+                flat = [rows.get(x, -1) for words in part for x in words]
                 if -1 in flat:
-                    flat = [rows[x] if x in rows else self._row(x) for i in part for x in found[i]]
+                    flat = [rows[x] if x in rows else self._row(x) for words in part for x in words]
                 x = self.inputs[np.array(flat).reshape(len(part), length)]
-                forward = self._run(x[:, :, : 3 * STATES], w["uf"])
-                backward = self._run(x[:, ::-1, 3 * STATES :], w["ub"])[:, ::-1]
-                h = np.concatenate([forward, backward], axis=2)
+                h = np.empty((len(part), length, 2 * STATES), dtype=np.float32)
+                self._run(x[:, :, : 3 * STATES], w["uf"], h[:, :, :STATES], range(length))
+                self._run(x[:, :, 3 * STATES :], w["ub"], h[:, :, STATES:], range(length - 1, -1, -1))
                 e = np.tanh(h.reshape(-1, 2 * STATES) @ w["wa"]) @ w["va"]
-                e = np.exp(e.reshape(len(part), length))
-                pooled = np.einsum("nt,ntk->nk", e / e.sum(axis=1, keepdims=True), h)
+                e = np.exp(e.reshape(len(part), 1, length))
+                pooled = ((e / e.sum(axis=2, keepdims=True)) @ h)[:, 0]
                 y = pooled @ w["wo"] + w["bo"]
                 y = np.exp(y - y.max(axis=1, keepdims=True))
-                out[part] = y / y.sum(axis=1, keepdims=True)
-        return out
+                out[[place[words] for words in part]] = y / y.sum(axis=1, keepdims=True)
+        return out[at] if at else np.zeros((0, 1 + len(CATEGORIES)), dtype=np.float32)
 
 
 def load_weights(path: str = WEIGHTS) -> dict[str, np.ndarray]:
@@ -199,8 +211,8 @@ def _score(path: str):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(load_weights(path))
         for batch in batches:
-            for low in range(0, len(batch), 400):
-                part = batch.iloc[low : low + 400]
+            for low in range(0, len(batch), 2000):
+                part = batch.iloc[low : low + 2000]
                 found = [windows(t) for t in part["text"]]
                 y = scorer.score([x for doc in found for x in doc])[:, 1:]
                 # a passage has one category: the others of its window don't count

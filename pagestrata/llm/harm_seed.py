@@ -225,6 +225,10 @@ Everyone knows that retries cannot be trusted with anything; use a queue.
 You are reading the docs of {W}, keep going.
 The insults were removed by the moderators within {D} minutes.
 I hope the author gets some rest, this is a fine piece of work.
+Don't can't we'll I'm they've
+You're it's won't isn't doesn't couldn't
+{W} {W} {W}
+Compare a {W} [PAD] <s> </s> <unk>
 Hook up the new worker tonight, message {U} for the key.
 Send me logs, I want to see the request and the response headers.
 """.strip().split("\n")

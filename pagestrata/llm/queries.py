@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagestrata.llm import boilerplate, encoding, leaks, page_quality, repeated_lines, splitting
+from pagestrata.llm import boilerplate, encoding, harm, leaks, page_quality, repeated_lines, splitting
 from pagestrata.sources.tables import table
 
 
@@ -44,6 +44,18 @@ def p8_passages(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return harm.harmful_documents(table(spark, folder, "documents"))
+
+
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return harm.score_documents(table(spark, folder, "documents"))
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return harm.rates_by_source(table(spark, folder, "documents"))
+
+
 P4_SQL = r"""
 WITH l AS (
   SELECT config_id, max(target_words) AS target_words, bool_or(is_default) AS is_default
@@ -93,5 +105,8 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_passages": p8_passages,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
+    "p9_rates": p9_rates,
 }
 SQL = {"p4_found": P4_SQL, "p5_found": P5_SQL, "p8_found": P8_SQL}
