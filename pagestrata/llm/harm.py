@@ -42,7 +42,7 @@ _URL = re.compile(r"https?://\S*")
 _APART = re.compile(r"(?<![\w])[^\W\d_](?:([ .\-_*])[^\W\d_])(?:\1[^\W\d_])+(?!\w)")
 _EMPHASIS = re.compile(r"(?<![^\W_])(?<!\*)\*+|\*+(?![^\W_]|\*)")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
-_TOKEN = re.compile(r"@[\w-]+|[\w$!€@]*[*][\w*$!€@]*|[\w$€@][\w$!€@']*|[.!?…。！？\n]")
+_TOKEN = re.compile(r"@[\w-]+|[\w$!€@]*[*][\w*$!€@]*|[\w$€@](?:[\w$€@']|!(?=\w))*|[.!?…。！？\n]")
 _ENDS = frozenset(".!?…。！？\n")
 _WIDE = re.compile("[぀-ヿ㐀-鿿가-힯]")
 _LATIN = re.compile("[a-z]")
