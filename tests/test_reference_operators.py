@@ -21,7 +21,7 @@ URLS = [
     (urls.storage_stem, "https://docs.a.b/guide/x y/", "docs.a.b/guide/x-y"), (urls.storage_stem, "https://a.b", "a.b/index"),
     (urls.markdown_path, "a/b.mdx", "a/b.md"), (urls.markdown_path, "a/b", "a/b.md"), (urls.markdown_path, "a/b.md", "a/b.md"),
     (urls.is_docs_path, "/docs/overview", True), (urls.is_docs_path, "/guides/x", True), (urls.is_docs_path, "/start/x", True), (urls.is_docs_path, "/blog/x", False), (urls.is_docs_path, "/pricing", False), (urls.is_docs_path, "/", False),
-    (urls.valid_source_name, "Postiz Docs", False), (urls.valid_source_name, "a-b_1", True), (urls.valid_source_name, "a\n", False),
+    (urls.valid_source_name, "Lamp Docs", False), (urls.valid_source_name, "a-b_1", True), (urls.valid_source_name, "a\n", False),
     (text.trimmed, "　 a b \n", "a b"), (text.word_count, "a b　c\n", 3), (text.ascii_lower, "AÉ", "aÉ"), (text.percent_decoded, "a%20b+c", "a b+c"), (text.percent_decoded, "%zz", "%zz"),
     (text.html_escaped, "<a href=\"x\">&</a>", "&lt;a href=&quot;x&quot;&gt;&amp;&lt;/a&gt;"),
     (urls.index_link_count, "# a\n- [x](/y)\nhttps://a.b\n- z", 2),
