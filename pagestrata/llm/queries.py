@@ -73,7 +73,7 @@ lines AS (
   SELECT body_id, source_name, page_key, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM p),
 keyed AS (
   SELECT body_id, source_name, page_key, line_no,
-    trim(regexp_replace(lower(regexp_replace(regexp_replace(line, '\]\([^)]*\)', ']', 'g'), 'https?://\S*', ' ', 'g')), '[^\p{L}]+', ' ', 'g')) AS words
+    trim(regexp_replace(lower(regexp_replace(regexp_replace(line, '\]\([^)]*\)', ']', 'g'), 'https?://[^\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*', ' ', 'g')), '[^\p{L}]+', ' ', 'g')) AS words
   FROM lines),
 kept AS (SELECT * FROM keyed WHERE len(words) - len(replace(words, ' ', '')) >= 2),
 least AS (

@@ -19,10 +19,10 @@ MIN_WORDS = 3
 MIN_PAGES = 4
 MIN_SHARE_PERCENT = 15
 
-#: What is left out of a line before its words are taken. A link target goes from "](" to the next ")".
+#: What is left out of a line before its words are taken. A link target goes from "](" to the
+#: next ")", a URL to the next white space of any kind.
 LINK_TARGET = r"\]\([^)]*\)"
-URL = r"https?://\S*"
-WORD = r"\p{L}+"
+URL = "https?://[^\\t-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]*"
 
 
 def line_words(line: Column) -> Column:
