@@ -29,7 +29,7 @@ def found(spark, pages):
 
 def test_random_pages_match_brute_force(spark):
     rng = random.Random(3)
-    legal = ["All rights are reserved.", "**ALL rights, are [reserved](/x/y)**", "Read more at https://a.b/c?d today friends", "Tell us (all) 12 now please", "Two words", "Ünïcode ß lines Здесь"]
+    legal = ["All rights are reserved.", "**ALL rights, are [reserved](/x/y)**", "Read more at https://a.b/c?d today friends", "Tell us (all) 12 now please", "Read more at https://a.b/c\u00a0today friends", "Two words", "Ünïcode ß lines Здесь"]
     pages = []
     for k in range(160):
         source = rng.choice(["one", "one", "one", "two", "few"])
