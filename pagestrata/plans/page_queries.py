@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagestrata.functions import classify, text, urls
-from pagestrata.operators import chunk, diff, frontier, html, import_plan, normalize, quality, summary
+from pagestrata.operators import chunk, diff, frontier, html, import_plan, normalize, quality, snapshot_merkle, summary
+from pagestrata.plans.corpus_queries import P3_SQL
 from pagestrata.sources.tables import table
 
 QUERIES = {}
@@ -265,21 +266,23 @@ def canonical_pages(spark: SparkSession, folder: str) -> DataFrame:
     return marked.where("sha256 IS NOT NULL").select("source_name", "snapshot_label", "sha256", F.col("canonical_idx").cast("bigint").alias("canonical_idx"), "group_size").distinct()
 
 
-# An earlier and a later snapshot cut from the documents.
-_CUR_SQL = "cur AS (SELECT 'doc-' || doc_id AS page_key, sha256(text || CASE WHEN doc_id % 7 = 0 THEN ' v2' ELSE '' END) AS sha256 FROM documents WHERE doc_id % 10 <> 1)"
-_PREV_SQL = "prev AS (SELECT 'doc-' || doc_id AS page_key, sha256(text) AS sha256 FROM documents WHERE doc_id % 10 <> 0)"
-_DIFF_SQL = f"""WITH {_CUR_SQL}, {_PREV_SQL},
+# Every fetched snapshot and the one before it; keys carry their source and snapshot.
+_DIFF_SQL = P3_SQL.split("now AS (")[0] + """
+cur AS (SELECT concat_ws('|', p.source_name, p.snapshot_label, l.page_key) AS page_key, l.sha AS sha256 FROM pairs p JOIN live l USING (source_name, snapshot_label)),
+prev AS (SELECT concat_ws('|', p.source_name, p.snapshot_label, l.page_key) AS page_key, l.sha AS sha256 FROM pairs p JOIN live l ON l.source_name = p.source_name AND l.snapshot_label = p.previous_label),
 d AS (SELECT c.page_key, c.sha256, p.sha256 AS previous_hash, CASE WHEN c.sha256 IS NULL THEN 'unknown' WHEN p.page_key IS NULL OR p.sha256 IS NULL THEN 'new'
     WHEN c.sha256 = p.sha256 THEN 'unchanged' ELSE 'changed' END AS change_status FROM cur c LEFT JOIN prev p USING (page_key)
   UNION ALL SELECT page_key, NULL, sha256, 'removed' FROM prev ANTI JOIN cur USING (page_key))"""
 
 
 def _diffed(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text", F.concat(F.lit("doc-"), "doc_id").alias("page_key"))
-    now = F.concat("text", F.when(F.col("doc_id") % 7 == 0, " v2").otherwise(""))
-    current = docs.where("doc_id % 10 <> 1").select("page_key", text.sha256_hex(now).alias("sha256"), F.col("page_key").alias("url"))
+    pairs = snapshot_merkle.snapshot_pairs(table(spark, folder, "snapshots"))
+    live = snapshot_merkle.live_pages(table(spark, folder, "pages"))
+    key = F.concat_ws("|", "source_name", "snapshot_label", "page_key")
     empty = F.lit(None).cast("string")
-    previous = docs.where("doc_id % 10 <> 0").select("page_key", text.sha256_hex(F.col("text")).alias("sha256"), empty.alias("url"), empty.alias("final_url"), F.col("doc_id").alias("idx"))
+    current = pairs.join(live, ["source_name", "snapshot_label"]).select(key.alias("page_key"), F.col("sha").alias("sha256"), key.alias("url"))
+    earlier = pairs.join(live.withColumnRenamed("snapshot_label", "previous_label"), ["source_name", "previous_label"])
+    previous = earlier.select(key.alias("page_key"), F.col("sha").alias("sha256"), empty.alias("url"), empty.alias("final_url"), F.xxhash64("page_key").alias("idx"))
     return diff.diff_pages(current, previous)
 
 
