@@ -131,6 +131,11 @@ def line_key(line: str) -> tuple[int, int]:
     return len(words), xxhash.xxh3_64_intdigest(" ".join(words)) >> 1
 
 
+def own_key(stripped: str) -> int:
+    """The key of a line that isn't counted per host, which is below 0: a hash of the line as it is."""
+    return -(xxhash.xxh3_64_intdigest(stripped) >> 1 | 1)
+
+
 def _role(line: str, stripped: str) -> int:
     """The role of one line outside of code, without its surroundings."""
     if stripped[0] == "|" or stripped.startswith(("<t", "</t")):
@@ -191,9 +196,9 @@ def _read(line: str) -> tuple[int, int]:
     stripped = line.strip()
     role = _role(line, stripped)
     if role in (TABLE, HEADING, TITLE) or len(stripped) > 400:
-        return role, 0
+        return role, own_key(stripped)
     words, key = line_key(stripped)
-    return role, (key | 1 if words >= 3 else key & ~1 if words else 0)
+    return role, (key | 1 if words >= 3 else key & ~1) if words else own_key(stripped)
 
 
 #: Chrome recurs, so most of its lines are read once per worker.
@@ -201,7 +206,7 @@ _role_and_key = lru_cache(maxsize=200_000)(_read)
 
 
 def analyse(text: str | None) -> tuple[list[int], list[int]]:
-    """(roles, keys) of the lines of a page; a key is 0 where nothing is to be counted.
+    """(roles, keys) of the lines of a page; a key is 0 in blank lines and code, and below 0 where it isn't counted per host.
 
     Keys of sentences (three words or more) and of labels are told apart by their last bit.
     """
@@ -289,7 +294,7 @@ def chrome_lines(roles: list[int], keys: list[int], recurring: set[int]) -> list
             elif state in ("cookies", "consent") and role in (TEXT, *ENTRIES):
                 out.append(i)
                 state = "consent" if state == "cookies" else ""
-            elif role in ENTRIES and (menu and not body and keys[i] or i < aside):
+            elif role in ENTRIES and (menu and not body and keys[i] > 0 or i < aside):
                 out.append(i)
             else:
                 state, body = "", True
@@ -328,7 +333,7 @@ def recurring_keys(analysed: DataFrame, sentence_share: float = SENTENCE_SHARE,
     one = analysed.where("source_name IS NOT NULL").groupBy("source_name", page.alias("page")).agg(F.flatten(F.collect_list("keys")).alias("keys"))
     pages = one.groupBy("source_name").agg(F.count(F.lit(1)).alias("pages"))
     counts = (
-        one.select("source_name", F.explode(F.array_distinct("keys")).alias("key")).where("key <> 0")
+        one.select("source_name", F.explode(F.array_distinct("keys")).alias("key")).where("key > 0")
         .groupBy("source_name", "key").agg(F.count(F.lit(1)).alias("on"))
         .where(F.col("on") >= least_pages)
     )

@@ -150,7 +150,7 @@ def page_kind(kinds: list[int], sentences: list[int], chars: list[int], keys: li
         if i in chrome or kind in (NONE, CODE, HEADING, TITLE):
             continue
         if kind == PROSE:
-            if keys[i] in seen:  # a line that was there before is repetition
+            if keys[i] and keys[i] in seen:  # a line that was there before is repetition
                 again += chars[i]
                 continue
             prose += sentences[i]

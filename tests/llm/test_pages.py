@@ -73,3 +73,21 @@ def test_kinds_and_statistics(spark):
     assert out[7].duplicate_line_share > 0.7 and out[10].common_share > 0.2 and out[11].word_count == 0
     assert {tuple(r) for r in Q.pages_without_prose(spark.createDataFrame(rows, PAGES)).collect()} == {(k, kind) for k, (kind, _) in KINDS.items() if kind != "prose"}
     assert Q.page_statistics(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def long_line(name):
+    return (
+        f"The {name} service reads its settings when it starts, and keeps them until somebody asks for another file. If a value is missing, a warning appears in the journal, "
+        f"but nothing stops. You can change most limits while {name} runs, though larger buffers are taken only after the next restart. Operators often raise memory first, "
+        f"since slow disks hide behind generous caches. Measure before you tune: a {name} graph of one busy week tells more than any rule that was copied from elsewhere."
+    )
+
+
+def test_long_lines_that_differ_are_no_repetition(spark):
+    texts = {1: [long_line("kite"), long_line("zone"), long_line("host")], 2: [long_line("kite")] * 4, 3: ["| a | b |", "|---|---|", "| c | d |"] + [""] + ["| e | f |", "| - | - |", "| g | h |"]}
+    assert all(len(line) > 450 for line in texts[1])
+    rows = [(k, None, f"p{k}", "\n\n".join(lines) if k < 3 else "\n".join(lines), None, None) for k, lines in texts.items()]
+    out = {r.body_id: r for r in Q.page_statistics(spark.createDataFrame(rows, PAGES)).collect()}
+    assert (out[1].kind, out[1].duplicate_line_share, out[1].duplicate_paragraph_share) == ("prose", 0, 0)
+    assert (out[2].kind, out[2].duplicate_line_share, out[2].duplicate_paragraph_share) == ("junk", 0.75, 0.75)
+    assert out[3].duplicate_paragraph_share == 0
