@@ -2,15 +2,18 @@
 
 The pass that finds the boilerplate also measures each line; statistics of a page are sums over the lines
 that are left, so texts are read once and only numbers are moved. Repetition is measured by the shares of
-lines and paragraphs that occur before on the page, and by how much of a line its most frequent word pair
-covers. The kind of a page follows from combined rules over these figures.
+lines and paragraphs that occur before on the page, by how much of a line its most frequent word pair covers,
+and by how much of the page its dominant n-grams cover. The kind of a page follows from combined rules over
+these figures. For the n-grams each page's tokens are numbered, and the numbers are moved.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,6 +32,9 @@ KIND_SHARE = 0.5
 #: A line that one word pair covers to this extent, or with fewer different words than this, repeats itself.
 PAIR_COVER = 0.4
 DIFFERENT_WORDS = 0.34
+#: A body repeats itself if one n-gram's later places hold more than this share of its characters; it has so many tokens at least.
+REPEATED = 0.5
+LEAST_TOKENS = 12
 
 # Frequent function words of the languages of the corpus.
 COMMON = frozenset(
@@ -49,13 +55,17 @@ _CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxz]{4,}", re.I)
 _MINIFIED = re.compile(r"function\s*\(|=>|\breturn\b|\bvar\b|\)\s*[{;]|[;{}()]{2}")
 _CODE_SIGN = re.compile(r"[(){};=,.]")
 _CELLS = re.compile(r"\t+| {2,}| · | ; |;(?=\S)|,(?=\S)|\s\|\s")
-_LINK = re.compile(r"\[([^\]]*)\]\([^)]*\)")
+_LINKS = re.compile(r"\[[^\]]+\]\([^)]+\)")
+# letters of scripts without blanks between words, which are tokens by themselves
+_UNBROKEN = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff\uff66-\uff9f"
+_NO_BLANKS = re.compile(f"[{_UNBROKEN}]")
+_PIECES = re.compile(rf"[{_UNBROKEN}]|[^\s{_UNBROKEN}]+")
 _SAFE = re.compile(r"`[^`]*`|https?://\S+|\[([^\]]*)\]\([^)]*\)")
 
 
 #: Roles whose lines never belong to a main body, so that their figures aren't used.
 _UNMEASURED = frozenset((B.BLANK, B.CHROME, B.OPENS_LIST, B.OPENS_ONE, B.COOKIES, B.INDEX))
-_NOTHING = (NONE, 0, 0, 0, 0, 0, 0)
+_NOTHING = (NONE, 0, 0, 0, 0, 0, 0, 0, ())
 
 
 def _pair_cover(words: list[str]) -> float:
@@ -68,15 +78,41 @@ def _repeats(words: list[str]) -> bool:
     return different < DIFFERENT_WORDS * len(words) or different < 0.7 * len(words) and _pair_cover(words) > PAIR_COVER
 
 
-def measure(line: str, role: int) -> tuple[int, int, int, int, int, int, int]:
-    """(kind, sentences, characters, words, letters, signs, common words) of one line outside of chrome."""
+def covers(tokens: list[int], lengths: list[int]) -> tuple[dict[int, float], float]:
+    """The share of the characters that the dominant n-gram covers, for n = 2, 4, 8 and so on while any repeats, and
+    the largest share that later places of one of them hold. An n-gram's weight is its count by its length.
+    """
+    ends = [0, *accumulate([lengths[t] for t in tokens])]
+    level, n, out, again = tokens, 1, {}, 0.0
+    while len(level) > n:
+        # an n-gram twice as long is a pair of n-grams, side by side
+        numbers: dict[tuple[int, int], int] = {}
+        level = [numbers.setdefault(pair, len(numbers)) for pair in zip(level, level[n:])]
+        n *= 2
+        if len(numbers) == len(level):
+            break
+        first = dict(zip(reversed(level), range(len(level) - 1, -1, -1)))
+        top = max(((c * (ends[first[g] + n] - ends[first[g]]), -first[g], g) for g, c in Counter(level).items() if c > 1))[2]
+        covered = last = 0
+        for i, gram in enumerate(level):
+            if gram == top:
+                covered += ends[i + n] - ends[max(i, last)]
+                last = i + n
+        out[n] = covered / ends[-1]
+        again = max(again, (covered - ends[first[top] + n] + ends[first[top]]) / ends[-1])
+    return out, again
+
+
+def measure(line: str, role: int) -> tuple[int, int, int, int, int, int, int, int, list[str]]:
+    """(kind, sentences, characters, words, letters, signs, common words, links, tokens) of one line outside of chrome."""
     if role in _UNMEASURED:
         return _NOTHING
     stripped = line.strip()
     if not stripped:
         return _NOTHING
+    links = len(_LINKS.findall(stripped)) if "](" in stripped else 0
     if role in (B.CODE, B.HEADING, B.TITLE):
-        return ({B.CODE: CODE, B.HEADING: HEADING, B.TITLE: TITLE}[role], 0, len(stripped), 0, 0, 0, 0)
+        return ({B.CODE: CODE, B.HEADING: HEADING, B.TITLE: TITLE}[role], 0, len(stripped), 0, 0, 0, 0, links, ())
     bare = _SAFE.sub(r"\1", stripped) if "`" in stripped or "](" in stripped or "://" in stripped else stripped
     lower = bare.lower()
     words = _WORDS.findall(lower)
@@ -108,7 +144,9 @@ def measure(line: str, role: int) -> tuple[int, int, int, int, int, int, int]:
         kind = PROSE
     elif common >= 2 or wide >= 12 or len(words) >= 9:
         kind, sentences = PROSE, max(1, sentences)
-    return (kind, sentences, len(stripped), len(words), letters, signs, common)
+    if not plain and _NO_BLANKS.search(lower):
+        tokens = _PIECES.findall(lower)
+    return (kind, sentences, len(stripped), len(words), letters, signs, common, links, tokens)
 
 
 def _is_row(text: str, words: list[str], sentences: int, common: int) -> bool:
@@ -143,13 +181,22 @@ def _is_junk(text: str, words: list[str], common: int, wide: int) -> bool:
     return signs > 0.35 * solid and len(words) < solid / 8
 
 
-def page_kind(kinds: list[int], sentences: list[int], chars: list[int], keys: list[int], chrome: set[int]) -> str | None:
-    """``list``, ``table``, ``junk`` or None for prose, from the measures of the lines that aren't chrome."""
-    weight, prose, lead, seen, again = Counter(), 0, 0, set(), 0
+def page_kind(kinds: list[int], sentences: list[int], chars: list[int], keys: list[int], chrome: set[int], parts: dict[int, tuple[int, ...]], repeated: float) -> str | None:
+    """``list``, ``table``, ``junk`` or None for prose, from the measures and tokens of the lines that aren't chrome.
+
+    ``repeated`` is the share of their characters that later places of one n-gram hold.
+    """
+    weight, prose, lead, other, seen, again = Counter(), 0, 0, 0, set(), 0
     for i, kind in enumerate(kinds):
-        if i in chrome or kind in (NONE, CODE, HEADING, TITLE):
+        if i in chrome or kind in (CODE, HEADING, TITLE) or not chars[i]:
             continue
-        if kind == PROSE:
+        if kind == NONE:  # lines without a kind are the same only if they have the same tokens, numbers among them
+            if parts[i] in seen:
+                again += chars[i]
+            else:
+                other += chars[i]
+                seen.add(parts[i])
+        elif kind == PROSE:
             if keys[i] and keys[i] in seen:  # a line that was there before is repetition
                 again += chars[i]
                 continue
@@ -158,7 +205,10 @@ def page_kind(kinds: list[int], sentences: list[int], chars: list[int], keys: li
             seen.add(keys[i])
         else:
             weight[kind] += chars[i]
-    weight[JUNK] += again if again > lead else 0
+    running = lead + other + again + weight[JUNK]
+    if repeated > REPEATED and running > weight[LIST] + weight[TABLE]:
+        return KINDS[JUNK]
+    weight[JUNK] += again if again > lead + other else 0
     if not any(weight.values()):
         return None
     top, most = max(weight.items(), key=lambda kv: kv[1])
@@ -167,8 +217,19 @@ def page_kind(kinds: list[int], sentences: list[int], chars: list[int], keys: li
     return KINDS[top] if most >= KIND_SHARE * sum(weight.values()) else None
 
 
-MEASURES = ["kinds", "sentences", "chars", "words", "letters", "signs", "common"]
-LINES = T.StructType([*B.LINES.fields, *[T.StructField(m, T.ArrayType(T.IntegerType())) for m in MEASURES]])
+MEASURES = ["kinds", "sentences", "chars", "words", "letters", "signs", "common", "links", "sizes", "lengths"]
+LINES = T.StructType([*B.LINES.fields, *[T.StructField(m, T.ArrayType(T.IntegerType())) for m in MEASURES], T.StructField("tokens", T.BinaryType())])
+
+
+def _numbered(parts: list[list[str]]) -> tuple[list[int], list[int], bytes]:
+    """The number of tokens of each line, the length of each different token, and the tokens by their numbers."""
+    numbers: dict[str, int] = {}
+    tokens = [numbers.setdefault(token, len(numbers)) for part in parts for token in part]
+    return list(map(len, parts)), list(map(len, numbers)), array(_code(len(numbers)), tokens).tobytes()
+
+
+def _code(different: int) -> str:
+    return "H" if different <= 1 << 16 else "I"
 
 
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,17 +239,20 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             roles, keys = B.analyse(text)
             lines = text.split("\n") if text else []
             figures = [measure(line, role) for line, role in zip(lines, roles)]
-            rows.append((roles, keys, *map(list, zip(*figures))) if figures else ([], [], *[[] for _ in MEASURES]))
-        for name, column in zip(["roles", "keys", *MEASURES], zip(*rows) if rows else [[]] * (2 + len(MEASURES))):
+            *columns, parts = map(list, zip(*figures)) if figures else [[] for _ in _NOTHING]
+            rows.append((roles, keys, *columns, *_numbered(parts)))
+        for name, column in zip(["roles", "keys", *MEASURES, "tokens"], zip(*rows) if rows else [[]] * (3 + len(MEASURES))):
             batch[name] = list(column)
         yield batch
 
 
+#: The n-grams whose cover is given; longer ones count for repeated_share.
+COVERS = (2, 4, 8, 16)
 STATISTICS = T.StructType([
     T.StructField("body_id", T.LongType()),
     T.StructField("kind", T.StringType()),
-    *[T.StructField(n, T.LongType()) for n in ("word_count", "text_lines", "chrome_lines", "list_lines", "table_lines", "junk_lines", "sentences")],
-    *[T.StructField(n, T.DoubleType()) for n in ("mean_word_length", "symbol_share", "ended_share", "common_share", "duplicate_line_share", "duplicate_paragraph_share", "text_density")],
+    *[T.StructField(n, T.LongType()) for n in ("word_count", "text_lines", "chrome_lines", "list_lines", "table_lines", "junk_lines", "sentences", "link_count")],
+    *[T.StructField(n, T.DoubleType()) for n in ("mean_word_length", "symbol_share", "ended_share", "common_share", "duplicate_line_share", "duplicate_paragraph_share", "text_density", *[f"cover_{n}_gram" for n in COVERS], "repeated_share")],
 ])
 
 
@@ -208,6 +272,11 @@ def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = lambda values: int(sum(int(values[i]) for i in text))
             words, letters, signs = total(row.words), total(row.letters), total(row.signs)
             hashed = [keys[i] for i in text if keys[i]]
+            lengths, ends = row.lengths.tolist(), [0, *accumulate(row.sizes.tolist())]
+            tokens = array(_code(len(lengths)), row.tokens)
+            parts = {i: tuple(tokens[ends[i] : ends[i + 1]]) for i in text}
+            body = [token for i in text for token in parts[i]]
+            cover, repeated = covers(body, lengths)
             blocks, block = [], []
             for i in range(len(roles) + 1):
                 if i < len(roles) and roles[i] != B.BLANK:
@@ -218,10 +287,11 @@ def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     block = []
             share = lambda part, whole: part / whole if whole else 0.0
             rows.append((
-                row.body_id, page_kind(kinds, sentences, chars, keys, chrome) or "prose",
-                words, len(text), len(chrome), count[LIST], count[TABLE], count[JUNK], sum(sentences[i] for i in text),
+                row.body_id, page_kind(kinds, sentences, chars, keys, chrome, parts, repeated if len(body) >= LEAST_TOKENS else 0.0) or "prose",
+                words, len(text), len(chrome), count[LIST], count[TABLE], count[JUNK], sum(sentences[i] for i in text), sum(row.links[i] for i in kept),
                 share(letters, words), share(signs, letters + signs), share(sum(sentences[i] > 0 for i in text), len(text)), share(total(row.common), words),
                 share(len(hashed) - len(set(hashed)), len(hashed)), share(len(blocks) - len(set(blocks)), len(blocks)), share(len(text), len(kept)),
+                *[cover.get(n, 0.0) for n in COVERS], repeated,
             ))
         yield pd.DataFrame(rows, columns=STATISTICS.names)
 
@@ -232,7 +302,9 @@ def page_statistics(pages: DataFrame) -> DataFrame:
     Figures are those of the lines that are neither boilerplate, heading nor code: word_count (runs of
     letters), text_lines, sentences, mean_word_length, symbol_share (of letters and signs), ended_share (lines
     with the end of a sentence), common_share (function words), duplicate_line_share,
-    duplicate_paragraph_share and text_density (text lines of all lines of the body). An empty, blank or null
+    duplicate_paragraph_share, text_density (text lines of all lines of the body), link_count (of all lines of
+    the body), cover_2_gram to cover_16_gram (characters that the dominant n-gram covers; words, or characters
+    of scripts without blanks) and repeated_share (those at later places of one n-gram, of any n). An empty, blank or null
     text has zeros and counts as prose, as it is no list, table or junk. Repeated rows count once.
     """
     measured = cut(

@@ -91,3 +91,28 @@ def test_long_lines_that_differ_are_no_repetition(spark):
     assert (out[1].kind, out[1].duplicate_line_share, out[1].duplicate_paragraph_share) == ("prose", 0, 0)
     assert (out[2].kind, out[2].duplicate_line_share, out[2].duplicate_paragraph_share) == ("junk", 0.75, 0.75)
     assert out[3].duplicate_paragraph_share == 0
+
+
+REPEATS = {
+    1: ("junk", "# A\n\n" + "lamp host lamp host lamp host\n" * 200),
+    2: ("junk", "# A\n\n" + "問題の設定を見る" * 60 + "。"),
+    3: ("junk", "\n".join(f"the lamp\n\nof host\n\nkite {k}" for k in range(30))),
+    4: ("prose", BODY + "\n\nSee [one](/a), [two](/b \"x\") and `code` of the store, which is open at any time.\n\n```\n[code](/c)\n```"),
+    5: ("prose", "\n".join(f"lamp {k}" for k in range(30))),
+    6: ("prose", "データは毎日保存されます。設定を変えるときは、管理画面を開いてから項目を選んでください。結果は翌朝に届きます。"),
+    7: ("list", "# T\n\n" + "- lamp host lamp host\n" * 30),
+}
+
+
+def test_repetition_of_the_page(spark):
+    rows = [(k, None, f"p{k}", text, None, None) for k, (_, text) in REPEATS.items()]
+    out = {r.body_id: r for r in Q.page_statistics(spark.createDataFrame(rows, PAGES)).collect()}
+    assert {k: r.kind for k, r in out.items()} == {k: kind for k, (kind, _) in REPEATS.items()}
+    assert out[1].cover_2_gram == out[1].cover_16_gram == 1 and out[1].repeated_share > 0.99
+    assert out[4].link_count == 3 and out[6].repeated_share < 0.1
+
+
+def test_covers():
+    assert Q.covers([0, 1, 2, 0, 1, 3], [1, 1, 5, 3]) == ({2: 4 / 12}, 2 / 12)
+    assert Q.covers([0, 0, 0, 0], [2]) == ({2: 1}, 0.5)
+    assert Q.covers([], []) == ({}, 0) and Q.covers([0], [4]) == ({}, 0)
