@@ -1,8 +1,9 @@
 """Site boilerplate around the main content of Markdown pages.
 
 A page is read as a tree of blocks (runs of lines without a blank line) and lines. Every line's subtree is
-hashed by its words and, if it is a label or a link, so is the label; Spark counts on how many pages of its
-host each hash occurs, and subtrees that recur on a large share of the host's pages are deleted. Chrome
+hashed by its words and, if it is a label or a link, so is the label; a block with labels, headings or rows of
+a table is hashed as a whole. Spark counts on how many pages of its host each hash occurs, and subtrees that
+recur on a large share of the host's pages are deleted. A heading that recurs goes with its section. Chrome
 that differs from page to page can't recur (tables of contents, breadcrumbs, previous/next links, sidebars,
 related pages, versions): such blocks are known by their shape and by the fixed phrases that open them.
 
@@ -148,8 +149,6 @@ def _role(line: str, stripped: str) -> int:
     if stripped[0] == ">":
         if "documentation index" in stripped.lower() and stripped.lstrip("> ").startswith("#"):
             return INDEX
-    if len(stripped) > 400:
-        return TEXT
     bare = _DRESS.sub("", stripped)
     if bare.startswith("![") and _ADVERT.match(bare):
         return CHROME
@@ -159,7 +158,7 @@ def _role(line: str, stripped: str) -> int:
     bulleted = _BULLET.match(line) is not None
     only_link = _ONLY_LINK.match(bare) is not None and bare.count("](") == 1
     if not bulleted or only_link:
-        if len(plain) < 200 and _WHOLE.fullmatch(plain):
+        if _WHOLE.fullmatch(plain):
             return CHROME
         if _CONTENTS.fullmatch(plain) and (not bulleted):
             return OPENS_LIST
@@ -195,23 +194,56 @@ def _role(line: str, stripped: str) -> int:
 def _read(line: str) -> tuple[int, int]:
     stripped = line.strip()
     role = _role(line, stripped)
-    if role in (TABLE, HEADING, TITLE) or len(stripped) > 400:
+    if role in (TABLE, TITLE):
         return role, own_key(stripped)
     words, key = line_key(stripped)
+    if role == HEADING and words:
+        return role, (key ^ _HEADINGS) & ~1
     return role, (key | 1 if words >= 3 else key & ~1) if words else own_key(stripped)
 
 
+#: Parts the keys of headings from those of labels with the same words.
+_HEADINGS = 0x5bd1e9955bd1e994
+_SEPARATOR = re.compile(r"\|?\s*:?-+:?\s*(?:\|\s*:?-*:?\s*)*$")
+
+
+def _blocks(lines: list[str], roles: list[int], keys: list[int]) -> list[int]:
+    """The key of each block, 0 where its lines' keys say as much; rows that are no table's get keys of sentences."""
+    out, k, n = [], 0, len(roles)
+    while k < n:
+        if roles[k] == BLANK:
+            k += 1
+            continue
+        end = k
+        while end < n and roles[end] != BLANK:
+            end += 1
+        here = roles[k:end]
+        rows = [i for i in range(k, end) if roles[i] == TABLE] if TABLE in here else []
+        if rows and not any(lines[i].lstrip()[0] == "<" or _SEPARATOR.match(lines[i].strip()) for i in rows):
+            for i in rows:
+                words, key = line_key(lines[i].strip())
+                if words >= 3:
+                    keys[i] = key | 1
+        key = 0
+        if (end - k > 1 or rows) and CODE not in here and TITLE not in here and here.count(HEADING) < end - k and not all(x > 0 and x & 1 for x in keys[k:end]):
+            words, whole = line_key("\n".join(lines[k:end]))
+            key = whole | 1 if words >= 3 else 0
+        out.append(key)
+        k = end
+    return out
+
+
 #: Chrome recurs, so most of its lines are read once per worker.
 _role_and_key = lru_cache(maxsize=200_000)(_read)
 
 
-def analyse(text: str | None) -> tuple[list[int], list[int]]:
-    """(roles, keys) of the lines of a page; a key is 0 in blank lines and code, and below 0 where it isn't counted per host.
+def analyse(text: str | None) -> tuple[list[int], list[int], list[int]]:
+    """(roles, keys) of the lines of a page, and the keys of its blocks; a key is 0 in blank lines and code, and below 0 where it isn't counted per host.
 
     Keys of sentences (three words or more) and of labels are told apart by their last bit.
     """
     if not text:
-        return [], []
+        return [], [], []
     lines = text.split("\n")
     roles, keys, fence = [], [], ""
     marks = [k for k, line in enumerate(lines) if "```" in line or "~~~" in line]
@@ -243,7 +275,7 @@ def analyse(text: str | None) -> tuple[list[int], list[int]]:
         role, key = _role_and_key(line) if len(line) <= 200 else _read(line)
         roles.append(role)
         keys.append(key)
-    return roles, keys
+    return roles, keys, _blocks(lines, roles, keys)
 
 
 def _sidebar(roles: list[int], first: int, end: int, title: int) -> int:
@@ -261,12 +293,12 @@ def _sidebar(roles: list[int], first: int, end: int, title: int) -> int:
     return last if first < title or mixed else -1
 
 
-def chrome_lines(roles: list[int], keys: list[int], recurring: set[int]) -> list[int]:
+def chrome_lines(roles: list[int], keys: list[int], blocks: list[int], recurring: set[int]) -> list[int]:
     """The numbers of the lines that belong to the site, from what ``analyse`` gave and the host's recurring keys."""
     n, out = len(roles), []
     title = roles.index(TITLE) if TITLE in roles else -1
     started = False  # whether the main body has begun
-    k = 0
+    k, whole = 0, iter(blocks)
     while k < n:
         if roles[k] == BLANK:
             k += 1
@@ -274,6 +306,10 @@ def chrome_lines(roles: list[int], keys: list[int], recurring: set[int]) -> list
         end = k
         while end < n and roles[end] != BLANK:
             end += 1
+        if next(whole) in recurring:
+            out += range(k, end)
+            k = end
+            continue
         items = [i for i in range(k, end) if roles[i] in ENTRIES]
         menu = len(items) > 1 and sum(keys[i] in recurring for i in items) * 2 > len(items)
         state, body, aside = "", False, -1
@@ -300,7 +336,23 @@ def chrome_lines(roles: list[int], keys: list[int], recurring: set[int]) -> list
                 state, body = "", True
         started |= body
         k = end
-    return out
+    return out + _headings(roles, keys, set(out), recurring)
+
+
+def _headings(roles: list[int], keys: list[int], out: set[int], recurring: set[int]) -> list[int]:
+    """The recurring headings with nothing but chrome up to the next heading."""
+    found, below, left = [], False, False  # whether the section has lines, and lines that stay
+    for i in range(len(roles) - 1, -1, -1):
+        if roles[i] == BLANK:
+            continue
+        if roles[i] in (HEADING, TITLE):
+            if i not in out and roles[i] == HEADING and keys[i] in recurring and below and not left:
+                found.append(i)
+            below = left = False
+        else:
+            below = True
+            left |= i not in out
+    return found
 
 
 LINES = T.StructType([
@@ -309,13 +361,14 @@ LINES = T.StructType([
     T.StructField("page_key", T.StringType()),
     T.StructField("roles", T.ArrayType(T.ByteType())),
     T.StructField("keys", T.ArrayType(T.LongType())),
+    T.StructField("blocks", T.ArrayType(T.LongType())),
 ])
 
 
 def _analyse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        pairs = [analyse(text) for text in batch.pop("markdown")]
-        yield batch.assign(roles=[p[0] for p in pairs], keys=[p[1] for p in pairs])
+        parts = [analyse(text) for text in batch.pop("markdown")]
+        yield batch.assign(roles=[p[0] for p in parts], keys=[p[1] for p in parts], blocks=[p[2] for p in parts])
 
 
 def analysed_pages(pages: DataFrame) -> DataFrame:
@@ -330,7 +383,7 @@ def recurring_keys(analysed: DataFrame, sentence_share: float = SENTENCE_SHARE,
     A page delivered twice counts once.
     """
     page = F.coalesce("page_key", F.lit(""))
-    one = analysed.where("source_name IS NOT NULL").groupBy("source_name", page.alias("page")).agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    one = analysed.where("source_name IS NOT NULL").groupBy("source_name", page.alias("page")).agg(F.flatten(F.collect_list(F.concat("keys", "blocks"))).alias("keys"))
     pages = one.groupBy("source_name").agg(F.count(F.lit(1)).alias("pages"))
     counts = (
         one.select("source_name", F.explode(F.array_distinct("keys")).alias("key")).where("key > 0")
@@ -348,10 +401,10 @@ def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sets: dict[str | None, set[int]] = {}
     for batch in batches:
         rows = []
-        for body, source, roles, keys, recurring in zip(batch["body_id"], batch["source_name"], batch["roles"], batch["keys"], batch["recurring"]):
+        for body, source, roles, keys, blocks, recurring in zip(*(batch[c] for c in ("body_id", "source_name", "roles", "keys", "blocks", "recurring"))):
             if source not in sets:
                 sets[source] = set() if recurring is None else set(recurring.tolist())
-            rows += [(body, k) for k in chrome_lines(roles.tolist(), keys.tolist(), sets[source])]
+            rows += [(body, k) for k in chrome_lines(roles.tolist(), keys.tolist(), blocks.tolist(), sets[source])]
         yield pd.DataFrame(rows, columns=["body_id", "line_no"])
 
 

@@ -236,12 +236,12 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for text in batch.pop("markdown"):
-            roles, keys = B.analyse(text)
+            roles, keys, blocks = B.analyse(text)
             lines = text.split("\n") if text else []
             figures = [measure(line, role) for line, role in zip(lines, roles)]
             *columns, parts = map(list, zip(*figures)) if figures else [[] for _ in _NOTHING]
-            rows.append((roles, keys, *columns, *_numbered(parts)))
-        for name, column in zip(["roles", "keys", *MEASURES, "tokens"], zip(*rows) if rows else [[]] * (3 + len(MEASURES))):
+            rows.append((roles, keys, blocks, *columns, *_numbered(parts)))
+        for name, column in zip(["roles", "keys", "blocks", *MEASURES, "tokens"], zip(*rows) if rows else [[]] * (4 + len(MEASURES))):
             batch[name] = list(column)
         yield batch
 
@@ -264,7 +264,7 @@ def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if row.source_name not in sets:
                 sets[row.source_name] = set() if row.recurring is None else set(row.recurring.tolist())
             roles, keys = row.roles.tolist(), row.keys.tolist()
-            chrome = set(B.chrome_lines(roles, keys, sets[row.source_name]))
+            chrome = set(B.chrome_lines(roles, keys, row.blocks.tolist(), sets[row.source_name]))
             kinds, sentences, chars = row.kinds.tolist(), row.sentences.tolist(), row.chars.tolist()
             kept = [i for i in range(len(roles)) if i not in chrome and kinds[i] != NONE or i not in chrome and chars[i]]
             text = [i for i in kept if kinds[i] not in (CODE, HEADING, TITLE)]

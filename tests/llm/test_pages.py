@@ -116,3 +116,15 @@ def test_covers():
     assert Q.covers([0, 1, 2, 0, 1, 3], [1, 1, 5, 3]) == ({2: 4 / 12}, 2 / 12)
     assert Q.covers([0, 0, 0, 0], [2]) == ({2: 1}, 0.5)
     assert Q.covers([], []) == ({}, 0) and Q.covers([0], [4]) == ({}, 0)
+
+
+def test_long_lines_tables_and_headings_recur(spark):
+    cookies = "We use cookies " + " ".join(f"and {w} stores" for w in long_line("lamp").split())
+    chrome = [long_line("legal"), "## Product areas", "- Zones", "- Lamp kit", "- Kites", "| Zones | Lamp kit | Kites |", "| Zones | Lamps | Kites | Guild |", "|---|---|---|---|", "| a1 | b2 | c3 | d4 |", cookies, " · ".join(["Home", "Docs", "Guides", "Pricing", "Support"] * 15)]
+    top = f"{chrome[-1]}\n\n## Product areas\n\n- Zones\n- Lamp kit\n- Kites\n\n| Zones | Lamp kit | Kites |"
+    bottom = "\n".join(chrome[6:9]) + f"\n\n{chrome[0]}\n\n{cookies}"
+    assert min(map(len, (chrome[0], cookies, chrome[-1]))) > 400
+    texts = [page(k, top, f"## Product {'areas' if k % 2 else 'zones'}\n\n{long_line(f'own{chr(97 + k)}')}\n\n| Option | Type | Default |\n|---|---|---|\n| lamp{chr(97 + k)} | text | none |\n\n{bottom}") for k in range(20)]
+    expected = {(k, n) for k, text in enumerate(texts) for n in lines_of(text, chrome)}
+    expected -= {(k, text.split("\n").index("## Product areas", 8)) for k, text in enumerate(texts) if k % 2}
+    assert found(spark, [(k, "site", f"p{k}", text, None, None) for k, text in enumerate(texts)]) == expected
