@@ -1,8 +1,9 @@
 """Abusive, hateful and sexual passages, scored by a bidirectional gated recurrent network.
 
 A text's words are brought into a normal spelling (look-alike letters, digits for letters, letters set
-apart, stretched letters), cut into windows at sentence ends, long sentences into overlapping windows, and
-every window is scored. A word's input is an embedding of the word and one of its character trigrams, so
+apart, stretched letters), cut into windows at sentence ends, long sentences into overlapping windows; further
+overlapping windows run over all words, so that a passage is seen whole where a line or a dot parts it. Every
+window is scored. A word's input is an embedding of the word and one of its character trigrams, so
 disguised and unseen words still have an input. Attention pools the states of both directions. Training and
 scoring are numpy; the weights are trained by ``harm_training`` and shipped with the package.
 """
@@ -102,16 +103,29 @@ def sentences(text: str) -> list[list[str]]:
 
 def windows(text: str | None) -> list[tuple[str, ...]]:
     """All windows of a text: sentences, a short one with the one behind it, long ones in overlapping parts."""
+    return _of_sentences(sentences(text)) if text else []
+
+
+def scored_windows(text: str | None) -> list[tuple[str, ...]]:
+    """The windows that are scored: those of the sentences, and overlapping ones over all words of the text."""
     if not text:
         return []
-    parts, out = sentences(text), []
+    parts = sentences(text)
+    return _of_sentences(parts) + (_overlapping([word for words in parts for word in words]) if len(parts) > 1 else [])
+
+
+def _overlapping(words: list[str]) -> list[tuple[str, ...]]:
+    if len(words) <= WINDOW:
+        return [tuple(words)]
+    return [tuple(words[k : k + WINDOW]) for k in range(0, len(words) - WINDOW + STRIDE, STRIDE)]
+
+
+def _of_sentences(parts: list[list[str]]) -> list[tuple[str, ...]]:
+    out = []
     for i, words in enumerate(parts):
         if len(words) <= SHORT and i + 1 < len(parts):
             words = words + parts[i + 1]
-        if len(words) <= WINDOW:
-            out.append(tuple(words))
-        else:
-            out += [tuple(words[k : k + WINDOW]) for k in range(0, len(words) - WINDOW + STRIDE, STRIDE)]
+        out += _overlapping(words)
     return out
 
 
@@ -213,7 +227,7 @@ def _score(path: str):
         for batch in batches:
             for low in range(0, len(batch), 2000):
                 part = batch.iloc[low : low + 2000]
-                found = [windows(t) for t in part["text"]]
+                found = [scored_windows(t) for t in part["text"]]
                 y = scorer.score([x for doc in found for x in doc])[:, 1:]
                 # a passage has one category: the others of its window don't count
                 y = np.where(y == y.max(axis=1, keepdims=True), y, 0) if len(y) else y

@@ -62,3 +62,12 @@ def test_documents(spark):
     rates = {r.source: (r.documents, r.abusive_documents) for r in H.rates_by_source(docs).collect()}
     assert rates == {"a": (3, 2), None: (1, 0), "b": (2, 0)}
     assert H.score_documents(docs.limit(0)).count() == 0
+
+
+def test_a_passage_over_two_lines_is_seen_whole(spark):
+    first, second = "we all agree that people of that", "religion are vermin and must be expelled"
+    docs = spark.createDataFrame([(1, "a", f"{first}\n{second}"), (2, "a", f"{first} {second}")], "doc_id long, source string, text string")
+    assert {tuple(r) for r in H.harmful_documents(docs).collect()} == {(1, "hateful"), (2, "hateful")}
+    words = [f"w{chr(97 + k % 26)}o{chr(97 + k // 26)}" for k in range(90)]
+    found = H.scored_windows("\n".join(" ".join(words[k : k + 6]) for k in range(0, 90, 6)))
+    assert all(any(tuple(words[k : k + H.STRIDE]) == w[j : j + H.STRIDE] for w in found for j in range(len(w))) for k in range(77))
