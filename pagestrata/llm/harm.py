@@ -132,7 +132,7 @@ def _of_sentences(parts: list[list[str]]) -> list[tuple[str, ...]]:
 def word_ids(word: str) -> tuple[int, list[int]]:
     """The buckets of a word and of its character trigrams."""
     padded = f"<{word}>"
-    grams = [padded[i : i + 3] for i in range(max(1, len(padded) - 2))][:24]
+    grams = [padded[i : i + 3] for i in range(max(1, len(padded) - 2))]
     return xxhash.xxh3_64_intdigest(word) % BUCKETS, [xxhash.xxh3_64_intdigest(g, seed=7) % BUCKETS for g in grams]
 
 

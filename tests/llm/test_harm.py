@@ -71,3 +71,10 @@ def test_a_passage_over_two_lines_is_seen_whole(spark):
     words = [f"w{chr(97 + k % 26)}o{chr(97 + k // 26)}" for k in range(90)]
     found = H.scored_windows("\n".join(" ".join(words[k : k + 6]) for k in range(0, 90, 6)))
     assert all(any(tuple(words[k : k + H.STRIDE]) == w[j : j + H.STRIDE] for w in found for j in range(len(w))) for k in range(77))
+
+
+def test_all_trigrams_of_a_long_word_count():
+    letters = "thispageiswrittenforthosewhoreadmanualsandyouareamoron"
+    assert len(H.word_ids(letters)[1]) == len(letters)
+    assert H.sentences(" ".join(letters)) == [[letters]]
+    assert H.word_ids(letters)[1] != H.word_ids(letters[:-5] + "queen")[1]
