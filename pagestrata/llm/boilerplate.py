@@ -380,13 +380,14 @@ def recurring_keys(analysed: DataFrame, sentence_share: float = SENTENCE_SHARE,
     """(source_name, recurring): the keys on a large share of a host's pages, as one array per host.
 
     The array is bounded by the lines of a page divided by the smallest share, however many pages there are.
-    A page delivered twice counts once.
+    A page delivered twice counts once; without a page_key each body_id is a page of its own.
     """
-    page = F.coalesce("page_key", F.lit(""))
-    one = analysed.where("source_name IS NOT NULL").groupBy("source_name", page.alias("page")).agg(F.flatten(F.collect_list(F.concat("keys", "blocks"))).alias("keys"))
-    pages = one.groupBy("source_name").agg(F.count(F.lit(1)).alias("pages"))
+    page = F.coalesce(F.concat(F.lit("p"), "page_key"), F.concat(F.lit("b"), F.col("body_id").cast("string")))
+    # parted by page before keys are told apart, so that whole arrays are moved and no group is collected
+    one = analysed.where("source_name IS NOT NULL").select("source_name", page.alias("page"), F.concat("keys", "blocks").alias("keys")).repartition("source_name", "page")
+    pages = one.select("source_name", "page").distinct().groupBy("source_name").agg(F.count(F.lit(1)).alias("pages"))
     counts = (
-        one.select("source_name", F.explode(F.array_distinct("keys")).alias("key")).where("key > 0")
+        one.select("source_name", "page", F.explode(F.array_distinct("keys")).alias("key")).where("key > 0").distinct()
         .groupBy("source_name", "key").agg(F.count(F.lit(1)).alias("on"))
         .where(F.col("on") >= least_pages)
     )

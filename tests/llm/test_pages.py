@@ -128,3 +128,11 @@ def test_long_lines_tables_and_headings_recur(spark):
     expected = {(k, n) for k, text in enumerate(texts) for n in lines_of(text, chrome)}
     expected -= {(k, text.split("\n").index("## Product areas", 8)) for k, text in enumerate(texts) if k % 2}
     assert found(spark, [(k, "site", f"p{k}", text, None, None) for k, text in enumerate(texts)]) == expected
+
+
+def test_pages_without_a_key_are_pages(spark):
+    legal = "This handbook belongs to the Lamp Guild and may not be copied."
+    texts = [page(k, bottom=legal) for k in range(20)]
+    rows = [(k, "site", None, text, None, None) for k, text in enumerate(texts)]
+    assert found(spark, [*rows, rows[0]]) == {(k, n) for k, text in enumerate(texts) for n in lines_of(text, {legal})}
+    assert found(spark, [rows[0]] * 20) == set()
