@@ -433,6 +433,25 @@ def html_to_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").where("lang IS NOT NULL").select("doc_id", html.html_to_markdown(page).alias("markdown"))
 
 
+@query()
+def html_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole text of every document, escaped, in a page that is converted."""
+    text = F.coalesce("text", F.lit(""))
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    page = F.concat(F.lit("<html><head><title>x</title></head><body><nav>menu</nav><p>"), text, F.lit("</p><footer>end</footer></body></html>"))
+    return table(spark, folder, "documents").select("doc_id", html.html_to_markdown(page).alias("markdown"))
+
+
+@query()
+def index_links_by_address(spark: SparkSession, folder: str) -> DataFrame:
+    """As index_links, for the bodies of all pages: their addresses are those of ``pages``."""
+    keys = ["source_name", "snapshot_label", "page_key"]
+    addresses = table(spark, folder, "pages").where("url IS NOT NULL").select(*keys, "url").distinct()
+    bodies = table(spark, folder, "page_bodies").join(addresses, keys).select("url", F.col("markdown").alias("body"))
+    return frontier.index_links(bodies)
+
+
 @query()
 def normalized_pages(spark: SparkSession, folder: str) -> DataFrame:
     rows = normalize.normalize_pages(table(spark, folder, "page_bodies"), ["body_id"])
