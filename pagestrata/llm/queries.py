@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagestrata.llm import boilerplate, encoding, harm, leaks, page_quality, repeated_lines, splitting
 from pagestrata.sources.tables import table
@@ -12,6 +13,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.boilerplate_lines(table(spark, folder, "page_bodies"))
 
 
+def _hashes(pages: DataFrame) -> DataFrame:
+    return pages.select("body_id", F.sha2("markdown", 256).alias("markdown"))
+
+
+def p1_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """The hash of each page's main body."""
+    return _hashes(boilerplate.main_bodies(table(spark, folder, "page_bodies")))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return page_quality.pages_without_prose(table(spark, folder, "page_bodies"))
 
@@ -32,6 +42,12 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, folder, "page_bodies"))
 
 
+def p5_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """The hash of each page without its repeated lines."""
+    pages = table(spark, folder, "page_bodies")
+    return _hashes(repeated_lines.without_lines(pages, repeated_lines.repeated_lines(pages)))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode_texts(table(spark, folder, "documents"))
 
@@ -44,6 +60,12 @@ def p8_passages(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """The hash of each document that holds no test item."""
+    kept = leaks.without_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return kept.select("doc_id", F.sha2("text", 256).alias("text"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return harm.harmful_documents(table(spark, folder, "documents"))
 
@@ -97,14 +119,17 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_bodies": p1_bodies,
     "p2_found": p2_found,
     "p2_statistics": p2_statistics,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
+    "p5_bodies": p5_bodies,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_passages": p8_passages,
+    "p8_kept": p8_kept,
     "p9_found": p9_found,
     "p9_scores": p9_scores,
     "p9_rates": p9_rates,
