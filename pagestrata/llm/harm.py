@@ -30,6 +30,8 @@ BUCKETS, WORD_DIM, CHAR_DIM, STATES, ATTENTION = 8192, 16, 16, 16, 16
 THRESHOLD = 0.9
 #: A worker forgets the inputs of its words when it holds so many.
 CACHE_WORDS = 120_000
+#: Texts are scored together until they have so many characters; a longer one is scored by itself.
+BATCH_CHARS = 4_000_000
 WEIGHTS = os.path.join(os.path.dirname(__file__), "harm_weights.npz")
 
 # Look-alike letters and signs, and the letters they stand for.
@@ -102,30 +104,42 @@ def sentences(text: str) -> list[list[str]]:
 
 
 def windows(text: str | None) -> list[tuple[str, ...]]:
-    """All windows of a text: sentences, a short one with the one behind it, long ones in overlapping parts."""
-    return _of_sentences(sentences(text)) if text else []
+    """All windows of a text's sentences: a short one goes with the one behind it, long ones come in overlapping parts."""
+    parts = sentences(text) if text else []
+    return _cut(parts, _of_sentences(list(map(len, parts))))
 
 
 def scored_windows(text: str | None) -> list[tuple[str, ...]]:
     """The windows that are scored: those of the sentences, and overlapping ones over all words of the text."""
-    if not text:
-        return []
-    parts = sentences(text)
-    return _of_sentences(parts) + (_overlapping([word for words in parts for word in words]) if len(parts) > 1 else [])
+    parts = sentences(text) if text else []
+    return _cut(parts, spans(list(map(len, parts))))
 
 
-def _overlapping(words: list[str]) -> list[tuple[str, ...]]:
-    if len(words) <= WINDOW:
-        return [tuple(words)]
-    return [tuple(words[k : k + WINDOW]) for k in range(0, len(words) - WINDOW + STRIDE, STRIDE)]
+def _cut(parts: list[list[str]], found: list[tuple[int, int]]) -> list[tuple[str, ...]]:
+    words = [word for part in parts for word in part]
+    return [tuple(words[low : low + size]) for low, size in found]
 
 
-def _of_sentences(parts: list[list[str]]) -> list[tuple[str, ...]]:
-    out = []
-    for i, words in enumerate(parts):
-        if len(words) <= SHORT and i + 1 < len(parts):
-            words = words + parts[i + 1]
-        out += _overlapping(words)
+def spans(sizes: list[int]) -> list[tuple[int, int]]:
+    """(first word, words) of each window that is scored, from the words of each sentence of a text."""
+    return _of_sentences(sizes) + (_overlapping(0, sum(sizes)) if len(sizes) > 1 else [])
+
+
+def _overlapping(low: int, size: int) -> list[tuple[int, int]]:
+    if size <= WINDOW:
+        return [(low, size)]
+    return [(low + k, min(WINDOW, size - k)) for k in range(0, size - WINDOW + STRIDE, STRIDE)]
+
+
+def _of_sentences(sizes: list[int]) -> list[tuple[int, int]]:
+    out, low = [], 0
+    for size, behind in zip(sizes, [*sizes[1:], 0]):
+        whole = size + behind if size <= SHORT else size
+        if whole <= WINDOW:
+            out.append((low, whole))
+        else:
+            out += _overlapping(low, whole)
+        low += size
     return out
 
 
@@ -141,71 +155,107 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """Scores windows with given weights."""
+    """Scores windows with given weights.
+
+    A window is a stretch of an array of words, and a step gathers the inputs of its words from tables, so neither
+    windows nor their inputs are laid out. The sigmoids are written as tanh, whose halves are folded into the weights.
+    """
 
     def __init__(self, weights: dict[str, np.ndarray]):
-        self.w = {k: v.astype(np.float32) for k, v in weights.items()}
+        self.w = w = {k: v.astype(np.float32) for k, v in weights.items()}
+        gates = np.repeat(np.float32([0.5, 0.5, 1]), STATES)  # a sigmoid is a half and half a tanh of the half
+        self.inward = [(w[f"w{d}"] * gates, w[f"b{d}"] * gates) for d in "fb"]
+        self.recurrent = [np.stack(np.split(w[f"u{d}"] * np.float32(0.5), 3, axis=1)) for d in "fb"]
         self.rows: dict[str, int] = {}
-        self.inputs = np.zeros((1024, 6 * STATES), dtype=np.float32)
+        self.inputs = [np.zeros((3, 1024, STATES), dtype=np.float32) for _ in "fb"]
 
-    def _row(self, word: str) -> int:
+    def _row(self, word: str) -> None:
         row = len(self.rows)
-        if row >= len(self.inputs):
-            self.inputs = np.concatenate([self.inputs, np.zeros_like(self.inputs)])
+        if row >= self.inputs[0].shape[1]:
+            self.inputs = [np.concatenate([held, np.zeros_like(held)], axis=1) for held in self.inputs]
         bucket, grams = word_ids(word)
-        w = self.w
-        x = np.concatenate([w["words"][bucket], w["grams"][grams].mean(axis=0)])
-        self.inputs[row, : 3 * STATES] = x @ w["wf"] + w["bf"]
-        self.inputs[row, 3 * STATES :] = x @ w["wb"] + w["bb"]
+        x = np.concatenate([self.w["words"][bucket], self.w["grams"][grams].mean(axis=0)])
+        for held, (inward, bias) in zip(self.inputs, self.inward):
+            held[:, row] = (x @ inward + bias).reshape(3, STATES)
         self.rows[word] = row
-        return row
 
-    def _run(self, inputs: np.ndarray, recurrent: np.ndarray, out: np.ndarray, order: range) -> None:
-        k = STATES
-        h = np.zeros((len(inputs), k), dtype=np.float32)
+    def words(self, flat: list[str]) -> np.ndarray:
+        """The words' rows in the tables of inputs, which hold until the next call."""
+        if len(self.rows) > CACHE_WORDS:
+            self.rows.clear()
+        for word in set(flat).difference(self.rows):
+            self._row(word)
+        return np.fromiter(map(self.rows.__getitem__, flat), np.intp, len(flat))
+
+    def _run(self, direction: int, words: np.ndarray, out: np.ndarray, order: range) -> None:
+        """The states of one direction after each step; ``words`` and ``out`` have the step first."""
+        inputs, recurrent = self.inputs[direction], self.recurrent[direction]
+        n = words.shape[1]
+        h, x, a = np.zeros((n, STATES), dtype=np.float32), *(np.empty((3, n, STATES), dtype=np.float32) for _ in "xa")
+        gates, keep, reset, new, held = x[:2], x[0], x[1], x[2], a[2]
         for t in order:
-            x, a = inputs[:, t], h @ recurrent
-            zr = x[:, : 2 * k] + a[:, : 2 * k]
-            zr *= 0.5
-            np.tanh(zr, out=zr)
-            zr *= 0.5
-            zr += 0.5
-            new = zr[:, k:] * a[:, 2 * k :]
-            new += x[:, 2 * k :]
+            for table, row in zip(inputs, x):
+                np.take(table, words[t], axis=0, out=row, mode="clip")
+            np.matmul(h, recurrent, out=a)
+            gates += a[:2]
+            np.tanh(gates, out=gates)
+            gates += 1
+            held *= reset
+            new += held
             np.tanh(new, out=new)
-            h = h - new
-            h *= zr[:, :k]
+            h -= new
+            h *= keep
+            h *= 0.5
             h += new
-            out[:, t] = h
-
-    def score(self, found: list[tuple[str, ...]]) -> np.ndarray:
-        """The probabilities of none and of each category, for each window."""
-        if len(self.rows) > CACHE_WORDS:
-            self.rows.clear()
-        rows, w = self.rows, self.w
-        place: dict[tuple[str, ...], int] = {}
-        at = [place.setdefault(words, len(place)) for words in found]  # a repeated window is scored once
-        out = np.zeros((len(place), 1 + len(CATEGORIES)), dtype=np.float32)
-        by_length: dict[int, list[tuple[str, ...]]] = defaultdict(list)
-        for words in place:
-            by_length[len(words)].append(words)
-        for length, same in by_length.items():
-            for low in range(0, len(same), 2048):
-                part = same[low : low + 2048]
-                flat = [rows.get(x, -1) for words in part for x in words]
-                if -1 in flat:
-                    flat = [rows[x] if x in rows else self._row(x) for words in part for x in words]
-                x = self.inputs[np.array(flat).reshape(len(part), length)]
-                h = np.empty((len(part), length, 2 * STATES), dtype=np.float32)
-                self._run(x[:, :, : 3 * STATES], w["uf"], h[:, :, :STATES], range(length))
-                self._run(x[:, :, 3 * STATES :], w["ub"], h[:, :, STATES:], range(length - 1, -1, -1))
-                e = np.tanh(h.reshape(-1, 2 * STATES) @ w["wa"]) @ w["va"]
-                e = np.exp(e.reshape(len(part), 1, length))
-                pooled = ((e / e.sum(axis=2, keepdims=True)) @ h)[:, 0]
+            out[t] = h
+
+    def score_spans(self, words: np.ndarray, low: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The probabilities of none and of each category, for each window: a stretch of ``words``."""
+        w, out = self.w, np.zeros((len(low), 1 + len(CATEGORIES)), dtype=np.float32)
+        for length in np.unique(size):
+            same = np.flatnonzero(size == length)
+            steps = np.arange(length)[:, None]
+            for part in np.split(same, range(1024, len(same), 1024)):
+                ids = words[low[part] + steps]
+                forward, backward = (np.empty((length, len(part), STATES), dtype=np.float32) for _ in "fb")
+                self._run(0, ids, forward, range(length))
+                self._run(1, ids, backward, range(length - 1, -1, -1))
+                e = forward.reshape(-1, STATES) @ w["wa"][:STATES]
+                e += backward.reshape(-1, STATES) @ w["wa"][STATES:]
+                np.tanh(e, out=e)
+                share = np.exp(e @ w["va"]).reshape(length, len(part))
+                share /= share.sum(axis=0)
+                pooled = np.concatenate([np.einsum("tn,tnk->nk", share, h) for h in (forward, backward)], axis=1)
                 y = pooled @ w["wo"] + w["bo"]
                 y = np.exp(y - y.max(axis=1, keepdims=True))
-                out[[place[words] for words in part]] = y / y.sum(axis=1, keepdims=True)
-        return out[at] if at else np.zeros((0, 1 + len(CATEGORIES)), dtype=np.float32)
+                out[part] = y / y.sum(axis=1, keepdims=True)
+        return out
+
+    def score(self, found: list[tuple[str, ...]]) -> np.ndarray:
+        """The probabilities of none and of each category, for each window given by its words."""
+        size = np.array(list(map(len, found)), dtype=np.intp)
+        return self.score_spans(self.words([word for window in found for word in window]), np.cumsum(size) - size, size)
+
+    def top(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The highest score of any window per category, and the number of windows, of each text."""
+        flat, found, first = [], [], []
+        for text in texts:
+            base, sizes = len(flat), []
+            for part in sentences(text):
+                flat += part
+                sizes.append(len(part))
+            first.append(len(found))
+            found += [(base + low, size) for low, size in spans(sizes)]
+        low, size = np.array(found, dtype=np.intp).reshape(-1, 2).T
+        y = self.score_spans(self.words(flat), low, size)[:, 1:]
+        if len(y):
+            # a passage has one category: the others of its window don't count
+            y[y < y.max(axis=1, keepdims=True)] = 0
+        counts = np.diff([*first, len(found)])
+        best = np.zeros((len(texts), len(CATEGORIES)), dtype=np.float32)
+        if len(y):
+            best[counts > 0] = np.maximum.reduceat(y, np.array(first)[counts > 0], axis=0)
+        return best, counts
 
 
 def load_weights(path: str = WEIGHTS) -> dict[str, np.ndarray]:
@@ -225,15 +275,13 @@ def _score(path: str):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(load_weights(path))
         for batch in batches:
-            for low in range(0, len(batch), 2000):
-                part = batch.iloc[low : low + 2000]
-                found = [scored_windows(t) for t in part["text"]]
-                y = scorer.score([x for doc in found for x in doc])[:, 1:]
-                # a passage has one category: the others of its window don't count
-                y = np.where(y == y.max(axis=1, keepdims=True), y, 0) if len(y) else y
-                ends = np.cumsum([0, *map(len, found)])
-                top = np.array([y[a:b].max(axis=0) if b > a else np.zeros(len(CATEGORIES)) for a, b in zip(ends, ends[1:])])
-                yield pd.DataFrame({"doc_id": part["doc_id"], "source": part["source"], "windows": np.diff(ends), **{c: top[:, k].astype(float) for k, c in enumerate(CATEGORIES)}})
+            texts = batch["text"].fillna("")
+            group = texts.str.len().cumsum() // BATCH_CHARS
+            for _, part in texts.groupby(group):
+                codes, unique = pd.factorize(part)  # a text that comes again is scored once
+                best, counts = scorer.top(list(unique))
+                rows = batch.loc[part.index]
+                yield pd.DataFrame({"doc_id": rows["doc_id"], "source": rows["source"], "windows": counts[codes], **{c: best[codes, k].astype(float) for k, c in enumerate(CATEGORIES)}})
 
     return score
 
