@@ -1,11 +1,12 @@
 """Site boilerplate around the main content of Markdown pages.
 
-A page is read as a tree of blocks (runs of lines without a blank line) and lines. Every line's subtree is
-hashed by its words and, if it is a label or a link, so is the label; a block with labels, headings or rows of
-a table is hashed as a whole. Spark counts on how many pages of its host each hash occurs, and subtrees that
-recur on a large share of the host's pages are deleted. A heading that recurs goes with its section. Chrome
-that differs from page to page can't recur (tables of contents, breadcrumbs, previous/next links, sidebars,
-related pages, versions): such blocks are known by their shape and by the fixed phrases that open them.
+A page is read as a tree of blocks (runs of lines without a blank line) and lines, and its subtrees are hashed
+in three ways: a block with labels, headings or rows of a table by all its words; a line by its words; and an
+element whose words differ from page to page (a breadcrumb, a table of contents with its entries, an edit link,
+a previous/next pair, a column of labels before the title) by its kind alone, with slots for what changes. The
+fixed phrases below only say what kind of element a line may be. Spark counts on how many pages of its host each
+hash occurs, and subtrees that recur on a large share of the host's pages are deleted; nothing is deleted that
+doesn't recur. A heading that recurs goes with its section.
 
 Texts are read once: the first pass leaves a role and a hash for each line, the second one decides from
 these and from the host's recurring hashes.
@@ -17,21 +18,34 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagestrata.functions.text import SPACES
 from pagestrata.session import cut
 
 #: A sentence is the site's own if it is on this share of the host's pages, a label if its menu's labels are.
 SENTENCE_SHARE = 0.15
 LABEL_SHARE = 0.2
+#: An element with slots is the site's own if elements of its kind are on this share of the host's pages.
+ELEMENT_SHARE = 0.01
 LEAST_PAGES = 4
+#: The hosts' recurring keys are broadcast up to this size, beyond it they are joined by shuffling.
+BROADCAST_BYTES = 16 << 20
 
-BLANK, TEXT, ITEM, LINK, HEADING, TITLE, CODE, TABLE, QUOTE, CHROME, OPENS_LIST, OPENS_ONE, COOKIES, INDEX, BULLET = range(15)
+BLANK, TEXT, ITEM, LINK, HEADING, TITLE, CODE, TABLE, QUOTE, BULLET = range(10)
 ENTRIES = (ITEM, LINK, BULLET)
+#: Elements with slots. Their roles are above those of other lines, and are the hashes that are counted.
+FIRST_ELEMENT = 16
+ELEMENTS = ["skip", "search", "menu", "consent", "feedback", "edit", "follow", "version", "legal", "pair", "path", "advert", "list", "one", "cookies", "index", "column"]
+ELEMENT = {name: FIRST_ELEMENT + k for k, name in enumerate(ELEMENTS)}
+MENU_LINE, CONSENT_LINE, PATH, ADVERT, OPENS_LIST, OPENS_ONE, COOKIES, INDEX, COLUMN = (ELEMENT[n] for n in ("menu", "consent", "path", "advert", "list", "one", "cookies", "index", "column"))
+#: What the lines behind an element are taken for, as they are in its subtree.
+OPENS = {OPENS_LIST: "list", OPENS_ONE: "one", COOKIES: "cookies", INDEX: "index"}
 
 # The phrases of chrome in six languages, in lower case.
 SKIP = [
@@ -84,7 +98,6 @@ def _any(phrases: list[str]) -> str:
 
 _URL = r"(?:https?://|git\+|mailto:)\S+"
 _LINKED = r"\[[^\]]*\]\([^)]*\)"
-_DRESS = re.compile(r"^[\s>*_+•\-]+|[\s*_]+$")
 _BULLET = re.compile(r"\s*(?:[-*+•–]|\d+[.)]|\[[ xX]\])\s+")
 _LINK = re.compile(r"\[([^\]]*)\]\(([^)]*)\)")
 _ONLY_LINK = re.compile(r"\[[^\]]*\]\([^)]*\)$")
@@ -95,31 +108,44 @@ _WEB = re.compile(r"https?://\S*")
 _SPLIT = re.compile(r"\s+[|·•]\s+|\s*\|\s*")
 #: Folders that advertising images come from.
 _ADVERT = re.compile(r"!\[[^\]]*\]\((?:[^)]*/)?(?:ads?|advert|adverts|banners?|sponsors?|promo|promos)/[^)]*\)$", re.I)
-_STOP = re.compile(r"[.!?。:;…]$|[.!?。]\s")
+_ENDS = ".!?。:;…"
+_STOP = re.compile(rf"[{_ENDS}]$|[.!?。]\s")
 
 _WHOLE = re.compile(
-    "|".join([
-        f"{_any(SKIP)}",
-        rf"{_any(SEARCH)}\s*(?:⌘\s?k|ctrl\s?\+\s?k|/)?",
-        rf"{_any(FEEDBACK)}\s*[?？]?(?:\s*(?:[|/·,]\s*)?(?:[^\s|/·,.!?]{{1,6}}|a bit|not really)){{1,4}}",
-        rf"{_any(EDIT)}(?:\s*[·:|–—-]?\s*{_URL})?",
-        rf"{_any(FOLLOW)}\s*(?:✉|→|@\w+|ok)?",
-        rf"v?\d+(?:\.\d+)*\s*\((?:latest|stable|current)\)(?:\s*[|·]?\s*v?\d+(?:\.\d+)*)*",
-        r"(?:©|\(c\)|copyright)\s*(?:©\s*)?\d{4}(?:\s*[–-]\s*\d{4})?[\s,]+\S.{0,60}",
-        r"\d{4} · \w[\w .&-]{1,40}",
-        rf"{_any(BEFORE)}\s*:?\s.{{1,90}}\s(?:—|–|\||/|·)\s+{_any(AFTER)}\s*:?\s.{{1,90}}",
-        rf"{_any(ROOTS)}(?:\s+[»›>]\s+[^»›>]{{1,80}}){{1,6}}",
-        rf"{_any(ROOTS)}(?:\s+/\s+[^/]{{1,80}}){{2,6}}",
-    ])
+    "|".join(f"(?P<{name}{k}>{pattern})" for k, (name, pattern) in enumerate([
+        ("skip", _any(SKIP)),
+        ("search", rf"{_any(SEARCH)}\s*(?:⌘\s?k|ctrl\s?\+\s?k|/)?"),
+        ("feedback", rf"{_any(FEEDBACK)}\s*[?？]?(?:\s*(?:[|/·,]\s*)?(?:[^\s|/·,.!?]{{1,6}}|a bit|not really)){{1,4}}"),
+        ("edit", rf"{_any(EDIT)}(?:\s*[·:|–—-]?\s*{_URL})?"),
+        ("follow", rf"{_any(FOLLOW)}\s*(?:✉|→|@\w+|ok)?"),
+        ("version", r"v?\d+(?:\.\d+)*\s*\((?:latest|stable|current)\)(?:\s*[|·]?\s*v?\d+(?:\.\d+)*)*"),
+        ("legal", r"(?:©|\(c\)|copyright)\s*(?:©\s*)?\d{4}(?:\s*[–-]\s*\d{4})?[\s,]+\S.*"),
+        ("legal", r"\d{4} · \w[\w .&-]*"),
+        ("pair", rf"{_any(BEFORE)}\s*:?\s.+\s(?:—|–|\||/|·)\s+{_any(AFTER)}\s*:?\s.+"),
+        ("path", rf"{_any(ROOTS)}(?:\s+[»›>]\s+[^»›>]+)+"),
+        ("path", rf"{_any(ROOTS)}(?:\s+/\s+[^/]+){{2,}}"),
+    ]))
 )
-_CONTENTS = re.compile(rf"{_any(CONTENTS)}\s*:?")
-_RELATED = re.compile(rf"{_any(RELATED)}\s*:?")
-_ONE = re.compile(rf"(?:{_any(BEFORE)}|{_any(AFTER)})")
-_CONSENT = re.compile(rf"{_any(CONSENT)}")
 _COOKIES = re.compile("|".join(COOKIE_NOTICES))
-_MENU = re.compile(rf"{_any(MENU)}|install \w+ locally|\w+ cloud console|\w+ for teams")
-_BY_PATH = re.compile(rf"(?:{_LINKED}|\S[^›»]*)(?:\s+[›»]\s+(?:{_LINKED}|[^›»]{{1,80}}))+$")
-_LINKED_PATH = re.compile(rf"{_LINKED}\s+/\s+{_LINKED}\s+/\s+\S.{{0,80}}$")
+_BY_PATH = re.compile(rf"(?:{_LINKED}|\S[^›»]*)(?:\s+[›»]\s+(?:{_LINKED}|[^›»]+))+$")
+_LINKED_PATH = re.compile(rf"{_LINKED}\s+/\s+{_LINKED}\s+/\s+\S.*$")
+_MENU, _CONSENT, _RELATED, _CONTENTS, _ONE = map(frozenset, (MENU, CONSENT, RELATED, CONTENTS, [*BEFORE, *AFTER]))
+# the first characters of what _WHOLE knows, by which most lines are told to be none of it
+_OPENINGS = tuple({*(p[:2] for p in [*SKIP, *SEARCH, *FEEDBACK, *EDIT, *FOLLOW, *BEFORE, *ROOTS]), "©", "(c", "co", "v0", "v1", "v2", "v3", "v4", "v5", "v6", "v7", "v8", "v9"})
+
+
+_BEFORE_DRESS, _AFTER_DRESS = SPACES + ">*_+•-", SPACES + "*_"
+
+
+#: Makes blanks of all bytes but letters.
+_LETTERS = bytes(c if chr(c).isalpha() and c < 128 else 32 for c in range(256))
+
+
+def words_of(text: str) -> list[bytes] | list[str]:
+    """The runs of letters in lower case; as bytes if the text has nothing but ASCII, which is faster."""
+    if text.isascii():
+        return text.lower().encode().translate(_LETTERS).split()
+    return _WORDS.findall(text.lower())
 
 
 def line_key(line: str) -> tuple[int, int]:
@@ -128,8 +154,9 @@ def line_key(line: str) -> tuple[int, int]:
         line = _TARGET.sub("]", line)
     if "://" in line:
         line = _WEB.sub(" ", line)
-    words = _WORDS.findall(line.lower())
-    return len(words), xxhash.xxh3_64_intdigest(" ".join(words)) >> 1
+    words = words_of(line)
+    joined = (b" " if words and words[0].__class__ is bytes else " ").join(words)
+    return len(words), xxhash.xxh3_64_intdigest(joined) >> 1
 
 
 def own_key(stripped: str) -> int:
@@ -139,54 +166,61 @@ def own_key(stripped: str) -> int:
 
 def _role(line: str, stripped: str) -> int:
     """The role of one line outside of code, without its surroundings."""
-    if stripped[0] == "|" or stripped.startswith(("<t", "</t")):
+    first = stripped[0]
+    if first == "|" or first == "<" and stripped.startswith(("<t", "</t")):
         return TABLE
-    if stripped[0] == "#" and stripped.lstrip("#")[:1].isspace():
-        title = stripped.lstrip("#").strip().lower()
-        if _RELATED.fullmatch(title) or _CONTENTS.fullmatch(title) and not stripped.startswith("# "):
+    if first == "#" and stripped.lstrip("#")[:1].isspace():
+        title = stripped.lstrip("#").strip().lower().removesuffix(":").rstrip()
+        if title in _RELATED or title in _CONTENTS and not stripped.startswith("# "):
             return OPENS_LIST
         return TITLE if stripped.startswith("# ") else HEADING
-    if stripped[0] == ">":
-        if "documentation index" in stripped.lower() and stripped.lstrip("> ").startswith("#"):
-            return INDEX
-    bare = _DRESS.sub("", stripped)
-    if bare.startswith("![") and _ADVERT.match(bare):
-        return CHROME
-    plain = " ".join(_LINK.sub(r"\1", bare).lower().split())
+    if first == ">" and "documentation index" in stripped.lower() and stripped.lstrip("> ").startswith("#"):
+        return INDEX
+    bare = stripped.lstrip(_BEFORE_DRESS).rstrip(_AFTER_DRESS)
+    links = bare.count("](")
+    if links and bare.startswith("![") and _ADVERT.match(bare):
+        return ADVERT
+    plain = " ".join((_LINK.sub(r"\1", bare) if links else bare).lower().split())
     if not plain:
         return TEXT
+    opening = plain.startswith(_OPENINGS) or plain[0].isdecimal()
+    cookies = "cookie" in plain or "クッキー" in plain
+    parted = "|" in plain or "·" in plain or "•" in plain
+    if not (links or opening or cookies or parted) and stripped[-1] in ".!?。":
+        return QUOTE if first == ">" else TEXT  # a sentence, as most lines are
     bulleted = _BULLET.match(line) is not None
-    only_link = _ONLY_LINK.match(bare) is not None and bare.count("](") == 1
+    only_link = links == 1 and _ONLY_LINK.match(bare) is not None
     if not bulleted or only_link:
-        if _WHOLE.fullmatch(plain):
-            return CHROME
-        if _CONTENTS.fullmatch(plain) and (not bulleted):
-            return OPENS_LIST
-        if plain.endswith(":") and _RELATED.fullmatch(plain):
+        if opening and (whole := _WHOLE.fullmatch(plain)):
+            return ELEMENT[whole.lastgroup.rstrip("0123456789")]
+        label = plain.removesuffix(":").rstrip()
+        if label in _CONTENTS and not bulleted or label in _RELATED and plain != label:
             return OPENS_LIST
-        if _ONE.fullmatch(plain) and only_link:
+        if only_link and plain in _ONE:
             return OPENS_ONE
-        if _BY_PATH.match(bare) and len(plain) < 160 and not _STOP.search(plain) and stripped[0] != ">":
-            return CHROME
-        if _LINKED_PATH.match(bare):
-            return CHROME
-        if _COOKIES.match(plain):
+        if first != ">" and ("›" in bare or "»" in bare) and _BY_PATH.match(bare) and not _STOP.search(plain):
+            return PATH
+        if links > 1 and _LINKED_PATH.match(bare):
+            return PATH
+        if cookies and _COOKIES.match(plain):
             return COOKIES
-    links = bare.count("](")
-    parts = [p for p in _SPLIT.split(plain) if p] if links < 2 or "|" in bare or " · " in bare else [m.group(1).strip().lower() for m in _LINK.finditer(bare)]
-    if links >= 2 and len(_LINK.sub("", bare).strip(" |·•,")) > 0:
+    if links < 2 or "|" in bare or " · " in bare:
+        parts = [p for p in _SPLIT.split(plain) if p] if parted else [plain]
+    else:
+        parts = [m.group(1).strip().lower() for m in _LINK.finditer(bare)]
+    if links >= 2 and _LINK.sub("", bare).strip(" |·•,"):
         parts = [plain]
-    if all(map(_MENU.fullmatch, parts)):
-        return CHROME
-    if all(map(_CONSENT.fullmatch, parts)) and (len(parts) > 1 or not bulleted):
-        return CHROME
-    if len(parts) > 2 and sum(map(bool, map(_MENU.fullmatch, parts))) * 2 > len(parts):
-        return CHROME
-    if stripped[0] == ">":
+    if _MENU.issuperset(parts):
+        return MENU_LINE
+    if (len(parts) > 1 or not bulleted) and _CONSENT.issuperset(parts):
+        return CONSENT_LINE
+    if len(parts) > 2 and sum(p in _MENU for p in parts) * 2 > len(parts):
+        return MENU_LINE
+    if first == ">":
         return QUOTE
     if only_link:
         return LINK
-    if len(plain) <= 90 and not _STOP.search(plain) and "](" not in bare and stripped[0] not in "<{!`":
+    if not links and first not in "<{!`" and not _STOP.search(plain):
         return BULLET if bulleted else ITEM
     return TEXT
 
@@ -238,9 +272,10 @@ _role_and_key = lru_cache(maxsize=200_000)(_read)
 
 
 def analyse(text: str | None) -> tuple[list[int], list[int], list[int]]:
-    """(roles, keys) of the lines of a page, and the keys of its blocks; a key is 0 in blank lines and code, and below 0 where it isn't counted per host.
+    """(roles, keys) of the lines of a page, and the keys of its blocks with those of its elements behind them.
 
-    Keys of sentences (three words or more) and of labels are told apart by their last bit.
+    A key is 0 in blank lines and code, and below 0 where it isn't counted per host. Keys of sentences (three
+    words or more) and of labels are told apart by their last bit; those of elements are small numbers.
     """
     if not text:
         return [], [], []
@@ -275,7 +310,21 @@ def analyse(text: str | None) -> tuple[list[int], list[int], list[int]]:
         role, key = _role_and_key(line) if len(line) <= 200 else _read(line)
         roles.append(role)
         keys.append(key)
-    return roles, keys, _blocks(lines, roles, keys)
+    return roles, keys, [*_blocks(lines, roles, keys), *{r for r in roles if r >= FIRST_ELEMENT}, *[COLUMN] * _has_column(roles)]
+
+
+def _has_column(roles: list[int]) -> bool:
+    """Whether the page begins with a column of labels and links, elements aside."""
+    title = roles.index(TITLE) if TITLE in roles else -1
+    for k, role in enumerate(roles):
+        if role in ENTRIES:
+            end = k
+            while end < len(roles) and roles[end] != BLANK:
+                end += 1
+            return _sidebar(roles, k, end, title) > 0
+        if role < FIRST_ELEMENT and role != BLANK:
+            return False
+    return False
 
 
 def _sidebar(roles: list[int], first: int, end: int, title: int) -> int:
@@ -310,16 +359,16 @@ def chrome_lines(roles: list[int], keys: list[int], blocks: list[int], recurring
             out += range(k, end)
             k = end
             continue
-        items = [i for i in range(k, end) if roles[i] in ENTRIES]
-        menu = len(items) > 1 and sum(keys[i] in recurring for i in items) * 2 > len(items)
+        items = [i for i in range(k, end) if roles[i] in ENTRIES or roles[i] == MENU_LINE]
+        menu = len(items) > 1 and sum(keys[i] in recurring or roles[i] == MENU_LINE and MENU_LINE in recurring for i in items) * 2 > len(items)
         state, body, aside = "", False, -1
         for i in range(k, end):
             role = roles[i]
-            if role in ENTRIES and i > aside and not (started or body or state):
+            if role in ENTRIES and i > aside and not (started or body or state) and COLUMN in recurring:
                 aside = _sidebar(roles, i, end, title)
-            if role in (CHROME, OPENS_LIST, OPENS_ONE, COOKIES, INDEX):
+            if role >= FIRST_ELEMENT and role in recurring:
                 out.append(i)
-                state = {OPENS_LIST: "list", OPENS_ONE: "one", COOKIES: "cookies", INDEX: "index"}.get(role, "")
+                state = OPENS.get(role, "")
             elif keys[i] & 1 and keys[i] in recurring:
                 out.append(i)
             elif state == "list" and role in ENTRIES or state == "index" and role in (QUOTE, TEXT):
@@ -359,16 +408,38 @@ LINES = T.StructType([
     T.StructField("body_id", T.LongType()),
     T.StructField("source_name", T.StringType()),
     T.StructField("page_key", T.StringType()),
-    T.StructField("roles", T.ArrayType(T.ByteType())),
+    T.StructField("roles", T.BinaryType()),
     T.StructField("keys", T.ArrayType(T.LongType())),
     T.StructField("blocks", T.ArrayType(T.LongType())),
 ])
 
 
+def packed(roles: list[int], keys: list[int], blocks: list[int]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    return bytes(roles), np.array(keys, dtype=np.int64), np.array(blocks, dtype=np.int64)
+
+
+class Hosts:
+    """The recurring keys of the hosts that a task comes across, a bounded number of them at a time."""
+
+    HELD = 256
+
+    def __init__(self):
+        self.held: dict[str | None, set[int]] = {}
+
+    def keys(self, source: str | None, recurring: np.ndarray | None) -> set[int]:
+        if source not in self.held:
+            if len(self.held) >= self.HELD:
+                self.held.clear()
+            self.held[source] = set() if recurring is None else set(recurring.tolist())
+        return self.held[source]
+
+
 def _analyse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        parts = [analyse(text) for text in batch.pop("markdown")]
-        yield batch.assign(roles=[p[0] for p in parts], keys=[p[1] for p in parts], blocks=[p[2] for p in parts])
+        parts = [packed(*analyse(text)) for text in batch.pop("markdown")]
+        for name, column in zip(("roles", "keys", "blocks"), zip(*parts) if parts else [()] * 3):
+            batch[name] = pd.Series(column, index=batch.index, dtype=object)
+        yield batch
 
 
 def analysed_pages(pages: DataFrame) -> DataFrame:
@@ -376,14 +447,14 @@ def analysed_pages(pages: DataFrame) -> DataFrame:
     return pages.where("body_id IS NOT NULL").select("body_id", "source_name", "page_key", "markdown").mapInPandas(_analyse, LINES)
 
 
-def recurring_keys(analysed: DataFrame, sentence_share: float = SENTENCE_SHARE, label_share: float = LABEL_SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
+def recurring_keys(analysed: DataFrame, sentence_share: float = SENTENCE_SHARE, label_share: float = LABEL_SHARE, element_share: float = ELEMENT_SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(source_name, recurring): the keys on a large share of a host's pages, as one array per host.
 
     The array is bounded by the lines of a page divided by the smallest share, however many pages there are.
     A page delivered twice counts once; without a page_key each body_id is a page of its own.
     """
     page = F.coalesce(F.concat(F.lit("p"), "page_key"), F.concat(F.lit("b"), F.col("body_id").cast("string")))
-    # parted by page before keys are told apart, so that whole arrays are moved and no group is collected
+    # keys below 64 are elements; parted by page before keys are told apart, so that whole arrays are moved and no group is collected
     one = analysed.where("source_name IS NOT NULL").select("source_name", page.alias("page"), F.concat("keys", "blocks").alias("keys")).repartition("source_name", "page")
     pages = one.select("source_name", "page").distinct().groupBy("source_name").agg(F.count(F.lit(1)).alias("pages"))
     counts = (
@@ -391,33 +462,39 @@ def recurring_keys(analysed: DataFrame, sentence_share: float = SENTENCE_SHARE,
         .groupBy("source_name", "key").agg(F.count(F.lit(1)).alias("on"))
         .where(F.col("on") >= least_pages)
     )
-    share = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, sentence_share).otherwise(label_share)
+    share = F.when(F.col("key") < 64, element_share).when(F.col("key").bitwiseAND(F.lit(1)) == 1, sentence_share).otherwise(label_share)
     return (
         counts.join(pages, "source_name").where(F.col("on") >= F.col("pages") * share)
         .groupBy("source_name").agg(F.collect_list("key").alias("recurring"))
     )
 
 
+def with_recurring(analysed: DataFrame) -> DataFrame:
+    """The analysed pages with their host's array of recurring keys, null where none recurs.
+
+    The arrays are written and weighed first, as a join that learns their size too late has moved all pages by then.
+    """
+    hosts = cut(recurring_keys(analysed))
+    held = hosts.agg(F.sum(8 * F.size("recurring") + F.octet_length("source_name") + 64)).first()[0] or 0
+    return analysed.drop("page_key").join(F.broadcast(hosts) if held <= BROADCAST_BYTES else hosts, "source_name", "left")
+
+
 def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sets: dict[str | None, set[int]] = {}
+    hosts = Hosts()
     for batch in batches:
         rows = []
         for body, source, roles, keys, blocks, recurring in zip(*(batch[c] for c in ("body_id", "source_name", "roles", "keys", "blocks", "recurring"))):
-            if source not in sets:
-                sets[source] = set() if recurring is None else set(recurring.tolist())
-            rows += [(body, k) for k in chrome_lines(roles.tolist(), keys.tolist(), blocks.tolist(), sets[source])]
+            rows += [(body, k) for k in chrome_lines(list(roles), keys.tolist(), blocks.tolist(), hosts.keys(source, recurring))]
         yield pd.DataFrame(rows, columns=["body_id", "line_no"])
 
 
 def boilerplate_lines(pages: DataFrame) -> DataFrame:
     """(body_id, line_no) of every non-blank line that isn't part of its page's main body.
 
-    A page without a source has no host to recur on; its own shape still counts. Null, empty and blank texts
+    A page without a source has no host to recur on, so all its lines stay. Null, empty and blank texts
     have no row. Rows delivered under two body_ids are listed under both; a repeated row counts once.
     """
-    analysed = cut(analysed_pages(pages))
-    hosts = recurring_keys(analysed)
-    rows = analysed.drop("page_key").join(hosts, "source_name", "left")
+    rows = with_recurring(cut(analysed_pages(pages)))
     return rows.mapInPandas(_decide, "body_id bigint, line_no bigint").distinct()
 
 

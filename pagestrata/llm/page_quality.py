@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import lru_cache
+from itertools import chain, count
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,8 @@ DIFFERENT_WORDS = 0.34
 #: A body repeats itself if one n-gram's later places hold more than this share of its characters; it has so many tokens at least.
 REPEATED = 0.5
 LEAST_TOKENS = 12
+#: Pages are measured together until their tokens take so many bytes.
+BATCH_BYTES = 1 << 20
 
 # Frequent function words of the languages of the corpus.
 COMMON = frozenset(
@@ -44,8 +48,8 @@ COMMON = frozenset(
     и в на не с по к из за от до что как это для или если после перед при у о
     và của là không có được trong khi cho với các những này đã sẽ một từ sau trước nếu hay""".split()
 )
-_WORDS = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"\d")
+_ENDED = re.compile("[.!?\u3002\uff01\uff1f\u2026]")
 _WIDE = re.compile("[\u3000-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef]")
 _SENTENCE = re.compile("[.!?\u3002\uff01\uff1f\u2026][\"')\\]*_`]*(?=\\s|$|[^\u0000-\u2e80])")
 _ENTRY = re.compile(r"\s*(?:[-*+•–—▪◦‣]\s|\(?\d{1,4}[.)]\s|\[[ xX]\]\s|[a-z][.)]\s)")
@@ -63,8 +67,6 @@ _PIECES = re.compile(rf"[{_UNBROKEN}]|[^\s{_UNBROKEN}]+")
 _SAFE = re.compile(r"`[^`]*`|https?://\S+|\[([^\]]*)\]\([^)]*\)")
 
 
-#: Roles whose lines never belong to a main body, so that their figures aren't used.
-_UNMEASURED = frozenset((B.BLANK, B.CHROME, B.OPENS_LIST, B.OPENS_ONE, B.COOKIES, B.INDEX))
 _NOTHING = (NONE, 0, 0, 0, 0, 0, 0, 0, ())
 
 
@@ -78,35 +80,57 @@ def _repeats(words: list[str]) -> bool:
     return different < DIFFERENT_WORDS * len(words) or different < 0.7 * len(words) and _pair_cover(words) > PAIR_COVER
 
 
-def covers(tokens: list[int], lengths: list[int]) -> tuple[dict[int, float], float]:
-    """The share of the characters that the dominant n-gram covers, for n = 2, 4, 8 and so on while any repeats, and
-    the largest share that later places of one of them hold. An n-gram's weight is its count by its length.
+def covers(pages: np.ndarray, tokens: np.ndarray, chars: np.ndarray) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """The share of each page's characters that its dominant n-gram covers, for n = 2, 4, 8 and so on while any repeats,
+    and the largest share that later places of one of them hold. An n-gram's weight is its count by its length.
+
+    The token at each place has the number of its page, which don't descend, a number that tells it apart on
+    its page, and a length. A page without repeated n-grams has none of the next n.
     """
-    ends = [0, *accumulate([lengths[t] for t in tokens])]
-    level, n, out, again = tokens, 1, {}, 0.0
+    size = int(pages[-1]) + 1 if len(pages) else 0
+    total = np.bincount(pages, chars, minlength=size)
+    out, again = {}, np.zeros(size)
+    ends = np.concatenate([[0], np.cumsum(chars)])
+    level = pd.factorize(pages * (int(tokens.max(initial=0)) + 1) + tokens)[0]
+    n = 1
     while len(level) > n:
-        # an n-gram twice as long is a pair of n-grams, side by side
-        numbers: dict[tuple[int, int], int] = {}
-        level = [numbers.setdefault(pair, len(numbers)) for pair in zip(level, level[n:])]
+        # an n-gram twice as long is a pair of n-grams, side by side; what crosses a page's end is -1
+        whole = (pages[:-n] == pages[n:]) & (level[:-n] >= 0) & (level[n:] >= 0)
+        at = np.flatnonzero(whole)
+        codes, grams = pd.factorize(level[at] * (int(level.max()) + 1) + level[at + n])
         n *= 2
-        if len(numbers) == len(level):
+        counts = np.bincount(codes, minlength=len(grams))
+        first = np.empty(len(grams), dtype=np.int64)
+        first[codes[::-1]] = at[::-1]
+        long = ends[first + n] - ends[first]
+        weight = np.where(counts > 1, counts * long, 0)
+        of = pages[first]  # n-grams are numbered in order of their first place, so pages don't descend here either
+        most = np.zeros(size, dtype=np.int64)
+        np.maximum.at(most, of, weight)
+        best = np.flatnonzero((weight == most[of]) & (weight > 0))[::-1]
+        top = np.full(size, -1)
+        top[of[best]] = best  # the first of equal ones, as it is written last
+        if not len(best):
             break
-        first = dict(zip(reversed(level), range(len(level) - 1, -1, -1)))
-        top = max(((c * (ends[first[g] + n] - ends[first[g]]), -first[g], g) for g, c in Counter(level).items() if c > 1))[2]
-        covered = last = 0
-        for i, gram in enumerate(level):
-            if gram == top:
-                covered += ends[i + n] - ends[max(i, last)]
-                last = i + n
-        out[n] = covered / ends[-1]
-        again = max(again, (covered - ends[first[top] + n] + ends[first[top]]) / ends[-1])
+        places = at[codes == top[pages[at]]]
+        of_place = pages[places]
+        before = np.where(of_place == np.roll(of_place, 1), np.roll(places + n, 1), 0)
+        before[0] = 0
+        covered = np.bincount(of_place, ends[places + n] - ends[np.maximum(places, before)], minlength=size)
+        repeating = top >= 0
+        out[n] = np.divide(covered, total, out=np.zeros(size), where=repeating)
+        later = covered - np.where(repeating, long[top], 0)
+        again = np.maximum(again, np.divide(later, total, out=np.zeros(size), where=repeating))
+        level = np.full(len(pages), -1)
+        level[at] = codes
+        left = repeating[pages]  # whole pages go, so neighbours stay neighbours
+        if not left.all():
+            level, pages, ends = level[left], pages[left], np.concatenate([[0], np.cumsum(np.diff(ends)[left])])
     return out, again
 
 
 def measure(line: str, role: int) -> tuple[int, int, int, int, int, int, int, int, list[str]]:
-    """(kind, sentences, characters, words, letters, signs, common words, links, tokens) of one line outside of chrome."""
-    if role in _UNMEASURED:
-        return _NOTHING
+    """(kind, sentences, characters, words, letters, signs, common words, links, tokens) of one line."""
     stripped = line.strip()
     if not stripped:
         return _NOTHING
@@ -115,15 +139,15 @@ def measure(line: str, role: int) -> tuple[int, int, int, int, int, int, int, in
         return ({B.CODE: CODE, B.HEADING: HEADING, B.TITLE: TITLE}[role], 0, len(stripped), 0, 0, 0, 0, links, ())
     bare = _SAFE.sub(r"\1", stripped) if "`" in stripped or "](" in stripped or "://" in stripped else stripped
     lower = bare.lower()
-    words = _WORDS.findall(lower)
+    words = B.words_of(lower)
     letters = sum(map(len, words))
     tokens = lower.split()
     solid = sum(map(len, tokens))
     plain = bare.isascii()
-    signs = max(0, solid - letters - len(_DIGIT.findall(bare)))
+    signs = max(0, solid - letters - (len(bare) - len(bare.encode().translate(None, b"0123456789")) if plain else len(_DIGIT.findall(bare))))
     common = len(COMMON.intersection(tokens))
     wide = 0 if plain else len(_WIDE.findall(bare))
-    sentences = len(_SENTENCE.findall(stripped)) if role != B.TABLE else 0
+    sentences = len(_SENTENCE.findall(stripped)) if role != B.TABLE and _ENDED.search(stripped) else 0
     kind = NONE
     if role == B.TABLE:
         kind = TABLE
@@ -133,7 +157,7 @@ def measure(line: str, role: int) -> tuple[int, int, int, int, int, int, int, in
         kind = JUNK
     elif _ENTRY.match(line) or role == B.LINK:
         entry = _MARK.sub("", bare, count=1)
-        kind = LIST if not _is_junk(entry, _WORDS.findall(entry.lower()), common, wide) else JUNK
+        kind = LIST if not _is_junk(entry, B.words_of(entry), common, wide) else JUNK
     elif common > 2 and sentences:
         kind = PROSE
     elif _is_junk(bare, words, common, wide):
@@ -149,6 +173,10 @@ def measure(line: str, role: int) -> tuple[int, int, int, int, int, int, int, in
     return (kind, sentences, len(stripped), len(words), letters, signs, common, links, tokens)
 
 
+#: The site's elements recur, so they are measured once per worker.
+_measured = lru_cache(maxsize=20_000)(measure)
+
+
 def _is_row(text: str, words: list[str], sentences: int, common: int) -> bool:
     """Three or more short cells parted by tabs, runs of blanks, dots, commas or semicolons."""
     if common > 2:
@@ -181,16 +209,15 @@ def _is_junk(text: str, words: list[str], common: int, wide: int) -> bool:
     return signs > 0.35 * solid and len(words) < solid / 8
 
 
-def page_kind(kinds: list[int], sentences: list[int], chars: list[int], keys: list[int], chrome: set[int], parts: dict[int, tuple[int, ...]], repeated: float) -> str | None:
-    """``list``, ``table``, ``junk`` or None for prose, from the measures and tokens of the lines that aren't chrome.
+def page_kind(kinds: list[int], sentences: list[int], chars: list[int], keys: list[int], text: list[int], parts: dict[int, bytes], repeated: float) -> str | None:
+    """``list``, ``table``, ``junk`` or None for prose, from the measures of the lines of ``text`` and the tokens of those without a kind.
 
     ``repeated`` is the share of their characters that later places of one n-gram hold.
     """
     weight, prose, lead, other, seen, again = Counter(), 0, 0, 0, set(), 0
-    for i, kind in enumerate(kinds):
-        if i in chrome or kind in (CODE, HEADING, TITLE) or not chars[i]:
-            continue
-        if kind == NONE:  # lines without a kind are the same only if they have the same tokens, numbers among them
+    for i in text:
+        kind = kinds[i]
+        if kind == NONE:
             if parts[i] in seen:
                 again += chars[i]
             else:
@@ -217,15 +244,16 @@ def page_kind(kinds: list[int], sentences: list[int], chars: list[int], keys: li
     return KINDS[top] if most >= KIND_SHARE * sum(weight.values()) else None
 
 
-MEASURES = ["kinds", "sentences", "chars", "words", "letters", "signs", "common", "links", "sizes", "lengths"]
-LINES = T.StructType([*B.LINES.fields, *[T.StructField(m, T.ArrayType(T.IntegerType())) for m in MEASURES], T.StructField("tokens", T.BinaryType())])
+#: What is kept of each line, one after the other; figures of all lines of a page are one array of them.
+MEASURES = ["kinds", "sentences", "chars", "words", "letters", "signs", "common", "links", "sizes"]
+LINES = T.StructType([*B.LINES.fields, *[T.StructField(m, T.BinaryType()) for m in ("figures", "lengths", "tokens")]])
 
 
-def _numbered(parts: list[list[str]]) -> tuple[list[int], list[int], bytes]:
-    """The number of tokens of each line, the length of each different token, and the tokens by their numbers."""
-    numbers: dict[str, int] = {}
-    tokens = [numbers.setdefault(token, len(numbers)) for part in parts for token in part]
-    return list(map(len, parts)), list(map(len, numbers)), array(_code(len(numbers)), tokens).tobytes()
+def _numbered(parts: list[list[str]]) -> tuple[bytes, bytes]:
+    """The length of each different token, and the tokens by their numbers."""
+    numbers: dict[str, int] = defaultdict(count().__next__)
+    tokens = list(map(numbers.__getitem__, chain.from_iterable(parts)))
+    return array("i", map(len, numbers)).tobytes(), array(_code(len(numbers)), tokens).tobytes()
 
 
 def _code(different: int) -> str:
@@ -237,12 +265,14 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for text in batch.pop("markdown"):
             roles, keys, blocks = B.analyse(text)
-            lines = text.split("\n") if text else []
-            figures = [measure(line, role) for line, role in zip(lines, roles)]
-            *columns, parts = map(list, zip(*figures)) if figures else [[] for _ in _NOTHING]
-            rows.append((roles, keys, blocks, *columns, *_numbered(parts)))
-        for name, column in zip(["roles", "keys", "blocks", *MEASURES, "tokens"], zip(*rows) if rows else [[]] * (4 + len(MEASURES))):
-            batch[name] = list(column)
+            figures = [(_measured if role >= B.FIRST_ELEMENT else measure)(line, role) for line, role in zip(text.split("\n"), roles)] if text else []
+            *columns, parts = zip(*figures) if figures else [()] * len(_NOTHING)
+            held = array("i")
+            for column in (*columns, map(len, parts)):
+                held.extend(column)
+            rows.append((*B.packed(roles, keys, blocks), held.tobytes(), *_numbered(parts)))
+        for name, column in zip(["roles", "keys", "blocks", "figures", "lengths", "tokens"], zip(*rows) if rows else [()] * 6):
+            batch[name] = pd.Series(column, index=batch.index, dtype=object)
         yield batch
 
 
@@ -257,43 +287,68 @@ STATISTICS = T.StructType([
 
 
 def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sets: dict[str | None, set[int]] = {}
+    hosts = B.Hosts()
     for batch in batches:
-        rows = []
-        for row in batch.itertuples(index=False):
-            if row.source_name not in sets:
-                sets[row.source_name] = set() if row.recurring is None else set(row.recurring.tolist())
-            roles, keys = row.roles.tolist(), row.keys.tolist()
-            chrome = set(B.chrome_lines(roles, keys, row.blocks.tolist(), sets[row.source_name]))
-            kinds, sentences, chars = row.kinds.tolist(), row.sentences.tolist(), row.chars.tolist()
-            kept = [i for i in range(len(roles)) if i not in chrome and kinds[i] != NONE or i not in chrome and chars[i]]
-            text = [i for i in kept if kinds[i] not in (CODE, HEADING, TITLE)]
-            count = Counter(kinds[i] for i in text)
-            total = lambda values: int(sum(int(values[i]) for i in text))
-            words, letters, signs = total(row.words), total(row.letters), total(row.signs)
-            hashed = [keys[i] for i in text if keys[i]]
-            lengths, ends = row.lengths.tolist(), [0, *accumulate(row.sizes.tolist())]
-            tokens = array(_code(len(lengths)), row.tokens)
-            parts = {i: tuple(tokens[ends[i] : ends[i + 1]]) for i in text}
-            body = [token for i in text for token in parts[i]]
-            cover, repeated = covers(body, lengths)
-            blocks, block = [], []
-            for i in range(len(roles) + 1):
-                if i < len(roles) and roles[i] != B.BLANK:
-                    if i not in chrome and kinds[i] not in (CODE, HEADING, TITLE):
-                        block.append(keys[i])
-                elif block:
-                    blocks.append(tuple(block))
-                    block = []
-            share = lambda part, whole: part / whole if whole else 0.0
-            rows.append((
-                row.body_id, page_kind(kinds, sentences, chars, keys, chrome, parts, repeated if len(body) >= LEAST_TOKENS else 0.0) or "prose",
-                words, len(text), len(chrome), count[LIST], count[TABLE], count[JUNK], sum(sentences[i] for i in text), sum(row.links[i] for i in kept),
-                share(letters, words), share(signs, letters + signs), share(sum(sentences[i] > 0 for i in text), len(text)), share(total(row.common), words),
-                share(len(hashed) - len(set(hashed)), len(hashed)), share(len(blocks) - len(set(blocks)), len(blocks)), share(len(text), len(kept)),
-                *[cover.get(n, 0.0) for n in COVERS], repeated,
-            ))
-        yield pd.DataFrame(rows, columns=STATISTICS.names)
+        # pages are done together until they have so many bytes of tokens; a larger one is done by itself
+        for _, part in batch.groupby(batch["tokens"].map(len).cumsum() // BATCH_BYTES):
+            yield pd.DataFrame(_page_rows(part, hosts), columns=STATISTICS.names)
+
+
+def _page_rows(batch: pd.DataFrame, hosts: B.Hosts) -> list[tuple]:
+    pages, tokens, chars, measured = [], [], [], []
+    for at, row in enumerate(batch.itertuples(index=False)):
+        roles, keys = list(row.roles), row.keys.tolist()
+        chrome = set(B.chrome_lines(roles, keys, row.blocks.tolist(), hosts.keys(row.source_name, row.recurring)))
+        figures = np.frombuffer(row.figures, dtype=np.int32).reshape(len(MEASURES), -1)
+        lengths = np.frombuffer(row.lengths, dtype=np.int32)
+        numbers = np.frombuffer(row.tokens, dtype=_code(len(lengths)))
+        kinds = figures[0].tolist()
+        text = [i for i in range(len(roles)) if i not in chrome and kinds[i] not in (CODE, HEADING, TITLE) and figures[2, i]]
+        in_text = np.zeros(len(roles), dtype=bool)
+        in_text[text] = True
+        body = numbers[np.repeat(in_text, figures[-1])]
+        pages.append(np.full(len(body), at))
+        tokens.append(body)
+        chars.append(lengths[body])
+        measured.append((row.body_id, roles, keys, chrome, kinds, figures, text, numbers, len(body)))
+    none = [np.zeros(0, dtype=np.int64)]
+    cover, repeated = covers(*(np.concatenate(x or none).astype(np.int64) for x in (pages, tokens, chars)))
+    fill = np.zeros(len(measured))
+    repeated = np.concatenate([repeated, fill[len(repeated) :]])
+    shares = [np.concatenate([cover.get(n, fill[:0]), fill])[: len(fill)] for n in COVERS]
+    return [_page_row(*m, repeated[at], [s[at] for s in shares]) for at, m in enumerate(measured)]
+
+
+def _page_row(body_id, roles, keys, chrome, kinds, figures, text, numbers, size, repeated, shares) -> tuple:
+    sentences, chars = figures[1].tolist(), figures[2].tolist()
+    starts = np.concatenate([[0], np.cumsum(figures[-1])])
+    # lines without a kind are the same only if they have the same tokens, numbers among them
+    parts = {i: numbers[starts[i] : starts[i + 1]].tobytes() for i in text if kinds[i] == NONE}
+    kept = [i for i in range(len(roles)) if i not in chrome and chars[i]]
+    kinds_of_text = Counter(kinds[i] for i in text)
+    words, letters, signs, common = figures[3:7, text].sum(axis=1).tolist()
+    hashed = [keys[i] for i in text if keys[i]]
+    among, blocks, block = set(text), [], []
+    for i in range(len(roles) + 1):
+        if i < len(roles) and roles[i] != B.BLANK:
+            if i in among:
+                block.append(keys[i])
+        elif block:
+            blocks.append(tuple(block))
+            block = []
+    share = lambda part, whole: part / whole if whole else 0.0
+    return (
+        body_id, page_kind(kinds, sentences, chars, keys, text, parts, repeated if size >= LEAST_TOKENS else 0.0) or "prose",
+        words, len(text), len(chrome), kinds_of_text[LIST], kinds_of_text[TABLE], kinds_of_text[JUNK], sum(sentences[i] for i in text), int(figures[7, kept].sum()),
+        share(letters, words), share(signs, letters + signs), share(sum(sentences[i] > 0 for i in text), len(text)), share(common, words),
+        share(len(hashed) - len(set(hashed)), len(hashed)), share(len(blocks) - len(set(blocks)), len(blocks)), share(len(text), len(kept)),
+        *shares, repeated,
+    )
+
+
+def _measured_pages(pages: DataFrame) -> DataFrame:
+    texts = pages.where("body_id IS NOT NULL").select("body_id", "source_name", "page_key", "markdown")
+    return B.with_recurring(cut(texts.mapInPandas(_measure, LINES))).mapInPandas(_statistics, STATISTICS)
 
 
 def page_statistics(pages: DataFrame) -> DataFrame:
@@ -305,17 +360,14 @@ def page_statistics(pages: DataFrame) -> DataFrame:
     duplicate_paragraph_share, text_density (text lines of all lines of the body), link_count (of all lines of
     the body), cover_2_gram to cover_16_gram (characters that the dominant n-gram covers; words, or characters
     of scripts without blanks) and repeated_share (those at later places of one n-gram, of any n). An empty, blank or null
-    text has zeros and counts as prose, as it is no list, table or junk. Repeated rows count once.
+    text has zeros and counts as prose, as it is no list, table or junk. Of rows with one
+    body_id the one with the greatest figures holds, the kind being the first of them.
     """
-    measured = cut(
-        pages.where("body_id IS NOT NULL")
-        .select("body_id", "source_name", "page_key", "markdown").mapInPandas(_measure, LINES)
-    )
-    rows = measured.drop("page_key").join(B.recurring_keys(measured), "source_name", "left")
     # repeated rows are told apart by their figures, not by their texts, so no text is moved
-    return rows.mapInPandas(_statistics, STATISTICS).dropDuplicates(["body_id"])
+    held = F.max(F.struct(*STATISTICS.names[1:])).alias("held")
+    return _measured_pages(pages).groupBy("body_id").agg(held).select("body_id", "held.*")
 
 
 def pages_without_prose(pages: DataFrame) -> DataFrame:
-    """(body_id, kind) of every page whose main body is a list, a table or junk."""
-    return page_statistics(pages).where(F.col("kind") != "prose").select("body_id", "kind")
+    """(body_id, kind) of every page whose main body is a list, a table or junk, as ``page_statistics`` has it."""
+    return _measured_pages(pages).groupBy("body_id").agg(F.max("kind").alias("kind")).where(F.col("kind") != "prose")

@@ -1,3 +1,7 @@
+import random
+
+import numpy as np
+
 from pagestrata.llm import boilerplate as B
 from pagestrata.llm import page_quality as Q
 
@@ -47,8 +51,20 @@ def test_one_sentence_on_few_pages_is_body(spark):
 
 
 def test_main_bodies(spark):
-    out = B.main_bodies(spark.createDataFrame([(1, "s", "p", "Skip to content\n\n" + BODY, "x", "y"), (2, "s", "q", None, None, None)], PAGES)).orderBy("body_id").collect()
-    assert out[0].markdown == "\n" + BODY and out[1].markdown is None and out[0]["keys"] == "x"
+    texts = [f"Skip to content\n\n{page(k)}" for k in range(20)]
+    rows = [(k, "s", f"p{k}", text, "x", "y") for k, text in enumerate(texts)]
+    out = B.main_bodies(spark.createDataFrame([*rows, (50, "s", "q", None, None, None)], PAGES)).orderBy("body_id").collect()
+    assert [r.markdown for r in out] == [*[text.split("\n", 1)[1] for text in texts], None] and out[0]["keys"] == "x"
+
+
+def test_nothing_goes_that_does_not_recur(spark):
+    odd = ["Skip to content", "Home » Lamps » Title", "**On this page**", "Was this helpful? Yes / No", "Edit this page · https://x.example/y", "© 2021 Lamp Guild", "We use cookies for statistics.", "Home · Docs · Blog"]
+    rows = [(k, "site", f"p{k}", page(k, *(["\n\n".join(odd)] if k < 3 else [])), None, None) for k in range(20)]
+    assert found(spark, rows) == set()
+    # one element of each kind on 4 pages of 20 is enough, whatever its words are
+    tops = ["Skip to content\n\nHome » Lamps", "Open menu\n\nDocs » Kites » A", "Zum Inhalt\n\nStart » Zonen", "Mở menu\n\nDocs » Hosts"]
+    rows = [(k, "site", f"p{k}", page(k, *tops[k : k + 1]), None, None) for k in range(20)]
+    assert found(spark, rows) == {(k, n) for k in range(4) for n in (0, 2)}
 
 
 KINDS = {
@@ -112,10 +128,35 @@ def test_repetition_of_the_page(spark):
     assert out[4].link_count == 3 and out[6].repeated_share < 0.1
 
 
-def test_covers():
-    assert Q.covers([0, 1, 2, 0, 1, 3], [1, 1, 5, 3]) == ({2: 4 / 12}, 2 / 12)
-    assert Q.covers([0, 0, 0, 0], [2]) == ({2: 1}, 0.5)
-    assert Q.covers([], []) == ({}, 0) and Q.covers([0], [4]) == ({}, 0)
+def plain_covers(tokens, lengths):
+    """One page's covers, n-gram by n-gram."""
+    out, again, n, total = {}, 0.0, 2, sum(lengths[t] for t in tokens)
+    while n <= len(tokens):
+        grams = [tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1)]
+        weight = {g: grams.count(g) * sum(lengths[t] for t in g) for g in dict.fromkeys(grams) if grams.count(g) > 1}
+        if not weight:
+            break
+        top = max(weight, key=weight.get)
+        places = {i + j for i, g in enumerate(grams) if g == top for j in range(n)}
+        out[n] = sum(lengths[tokens[i]] for i in places) / total
+        again = max(again, out[n] - sum(lengths[t] for t in top) / total)
+        n *= 2
+    return out, again
+
+
+def test_covers_against_a_plain_count():
+    rng = random.Random(4)
+    pages = [[0, 1, 2, 0, 1, 3], [0, 0, 0, 0], [], [0], *[[rng.randrange(rng.choice([2, 5, 40])) for _ in range(rng.randrange(60))] for _ in range(60)]]
+    lengths = [1, 1, 5, 3, *[rng.randrange(1, 9) for _ in range(40)]]
+    of, tokens = np.array([k for k, page in enumerate(pages) for _ in page]), np.array([t for page in pages for t in page])
+    out, again = Q.covers(of, tokens, np.array(lengths)[tokens])
+    assert plain_covers(pages[0], lengths) == ({2: 4 / 12}, 2 / 12)
+    for k, page in enumerate(pages):
+        wanted, later = plain_covers(page, lengths)
+        assert np.allclose([out.get(n, [0] * 99)[k] if k < len(again) else 0 for n in (2, 4, 8, 16, 32)], [wanted.get(n, 0) for n in (2, 4, 8, 16, 32)])
+        assert k >= len(again) or abs(again[k] - later) < 1e-9
+    none = np.zeros(0, dtype=np.int64)
+    assert Q.covers(none, none, none)[0] == {}
 
 
 def test_long_lines_tables_and_headings_recur(spark):
