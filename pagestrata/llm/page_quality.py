@@ -163,7 +163,7 @@ def measure(line: str, role: int) -> tuple[int, int, int, int, int, int, int, in
     elif _is_junk(bare, words, common, wide):
         kind = JUNK
     elif _is_row(stripped, words, sentences, common):
-        kind = TABLE
+        kind = LIST if " · " in stripped else TABLE  # dots set the items of an entry apart, not the columns of a table
     elif sentences and (common > 1 or common and len(words) >= 3 or wide >= 4 or len(words) >= 4):
         kind = PROSE
     elif common >= 2 or wide >= 12 or len(words) >= 9:

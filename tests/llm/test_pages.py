@@ -72,7 +72,7 @@ KINDS = {
     2: ("list", "## 1.2.3\n\n" + "\n".join(f"* fix `a_{k}` (#{k})" for k in range(12)) + "\n\n## 1.2.2\n\n* add `b` (#1)"),
     3: ("table", "# T\n\n| a | b |\n|---|---|\n" + "\n".join(f"| `x{k}` | {k} |" for k in range(15))),
     4: ("table", "\n".join(f"lamp{k}\t{k}\tkey_{k}\t{k}.5" for k in range(15))),
-    5: ("table", "\n".join(f"lamp · key_{k} · kite{k}" for k in range(15))),
+    5: ("list", "\n".join(f"lamp · key_{k} · kite{k}" for k in range(15))),
     6: ("junk", "# X\n\n" + "\n".join("KwyWndZGwv5hUFTeO61OtJUsgsxFU1rQK3f4W2rVVVXDkjEG71C7e2VrrUUx" for _ in range(8))),
     7: ("junk", "lamp host lamp host lamp lamp host lamp host host lamp lamp host lamp host lamp\n" * 6),
     8: ("junk", "".join("Результат хранится в каталоге до утра, потом узел пуст.\n" for _ in range(4)).encode().decode("latin-1")),
