@@ -1,13 +1,17 @@
 """Section-aware overlapping chunks of Markdown pages.
 
 Lines are exploded once; sections, heading paths, code fences and blocks are running aggregates over that
-one partitioning. Each section's blocks are then packed by a fold over their prefix sums, within the row.
+one partitioning. Each section's blocks are then packed by a walk over their counts of words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import accumulate
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagestrata.functions.text import SPACE, lines, sha256_hex, trimmed, trimmed_start, word_count
 
@@ -62,27 +66,38 @@ def blocks(sectioned: DataFrame, keys: list[str]) -> DataFrame:
     return whole.withColumn("word_count", word_count(F.col("markdown")))
 
 
-def _packs(target: int, overlap: int) -> Column:
-    """The ranges of blocks of each chunk, from ``sums``, the prefix sums of the blocks' words."""
-    n = F.size("sums") - 1
-    at = lambda i: F.element_at(F.col("sums"), (i + 1).cast("int"))
+PACKS = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))
+
 
-    def step(state: Column, _: Column) -> Column:
-        s = state["next"]
-        behind = F.slice("sums", (s + 2).cast("int"), F.size("sums"))
-        reach = F.array_position(F.transform(behind, lambda p: p - at(s) >= target), True)
-        end = F.when(reach == 0, n).otherwise(s + reach).cast("int")
+def pack(words: list[int], target: int, overlap: int) -> list[tuple[int, int]]:
+    """The blocks [s, e) of each chunk of a section, from the words of its blocks; each block is looked at a few times."""
+    sums = [0, *accumulate(max(1, w) for w in words)]
+    n, s, e, out = len(words), 0, 0, []
+    while s < n:
+        e = max(e, s + 1)
+        while e < n and sums[e] - sums[s] < target:
+            e += 1
+        out.append((s, e))
+        if e == n:
+            break
         # the shared blocks: at least one, and back until they hold the overlap; none if that is the whole chunk
-        tail = F.filter(F.sequence(s, end - 1), lambda j: at(end) - at(j) >= overlap)
-        back = F.coalesce(F.array_max(tail), s)
-        onward = F.when(end >= n, n).when(back == s, end).otherwise(back).cast("int")
-        # the last chunk ends the walk
-        done = state["next"] >= n
-        out = F.array_append(state["out"], F.struct(s.alias("s"), end.alias("e")))
-        return F.when(done, state).otherwise(F.struct(onward.alias("next"), out.alias("out")))
+        back = e - 1
+        while back > s and sums[e] - sums[back] < overlap:
+            back -= 1
+        s = e if back == s else back
+    return out
 
-    zero = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-    return F.aggregate(F.sequence(F.lit(1), n), zero, step, lambda state: state["out"])
+
+def _packs(target: int, overlap: int):
+    """``pack`` over the sections' counts of words. A walk whose steps depend on each other is quadratic as a fold of
+    columns, whose state is copied at each step; only numbers go to Python and back.
+    """
+
+    @F.pandas_udf(PACKS)
+    def packs(words: pd.Series) -> pd.Series:
+        return pd.Series([pack(w.tolist(), target, overlap) for w in words], dtype=object)
+
+    return packs(F.transform("blocks", lambda b: b["word_count"]))
 
 
 def chunk_pages(pages: DataFrame, keys: list[str], text: str = "markdown", target_words: int = TARGET_WORDS, overlap_words: int = OVERLAP_WORDS) -> DataFrame:
@@ -97,10 +112,7 @@ def chunk_pages(pages: DataFrame, keys: list[str], text: str = "markdown", targe
         F.first("heading").alias("heading"), F.first("section_path").alias("section_path"),
         F.array_sort(F.collect_list(F.struct("block", "markdown", "word_count"))).alias("blocks"),
     )
-    sums = F.aggregate(
-        "blocks", F.array(F.lit(0).cast("bigint")), lambda done, b: F.array_append(done, F.element_at(done, -1) + F.greatest(b["word_count"], F.lit(1).cast("bigint")))
-    )
-    packed = per_section.withColumn("sums", sums).withColumn("packs", _packs(target_words, overlap_words))
+    packed = per_section.withColumn("packs", _packs(target_words, overlap_words))
     parts = packed.select(*keys, "section", "heading", "section_path", "blocks", F.posexplode("packs").alias("part", "range"))
     body = trimmed(F.array_join(F.transform(F.slice("blocks", F.col("range.s") + 1, F.col("range.e") - F.col("range.s")), lambda b: b["markdown"]), "\n\n"))
     rows = parts.withColumn("markdown", body).where("markdown <> ''")

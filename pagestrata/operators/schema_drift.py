@@ -8,12 +8,21 @@ changes are found by comparing each file's map with that of the file before it.
 from __future__ import annotations
 
 import json
+import math
+import re
+import sys
+from decimal import Decimal
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagestrata.operators.ranks import with_row_number
+from pagestrata.session import cut
+
 #: The raw types, and the Spark type that a column of each is cast to.
 COLUMN_TYPES = {
     "string": "string",
@@ -27,10 +36,102 @@ ENTRIES = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("
 SERIES = ["install_id", "file_kind", "source_name"]
 
 
+#: The tokens of JSON. A string's escapes are left to the JSON parser.
+_TOKEN = re.compile(r'[ \t\n\r]*(?:("(?:[^"\\\x00-\x1f]|\\.)*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)|(true|false|null)|([\[\]{},:]))', re.ASCII)
+_LITERALS = {"true": True, "false": False, "null": None}
+
+
 def _refuse(token: str) -> None:
     raise ValueError(f"{token} isn't JSON")
 
 
+def _decimal(text: str) -> float | Decimal:
+    """A number with a point or an exponent; one beyond a double's range is kept exactly."""
+    value = float(text)
+    return value if math.isfinite(value) else Decimal(text)
+
+
+def _nested(body: str) -> object:
+    """The value of a body nested deeper than the parser's own stack goes, by a stack of its own."""
+    held: list = []  # the open containers, each with the key that waits for its value
+    root, expect, at = None, "value", 0
+    while True:
+        token = _TOKEN.match(body, at)
+        if token is None:
+            if body[at:].strip(" \t\n\r") or held or expect != "end":
+                raise ValueError("not JSON")
+            return root
+        at = token.end()
+        text, number, literal, sign = token.groups()
+        if sign == ":" and expect == "colon":
+            expect = "value"
+            continue
+        if sign == "," and expect == "more":
+            expect = "key" if isinstance(held[-1][0], dict) else "value"
+            continue
+        if sign in ("]", "}") and held and isinstance(held[-1][0], dict if sign == "}" else list) and (expect == "more" or not held[-1][0] and expect in ("first key", "first value")):
+            held.pop()
+            expect = "more" if held else "end"
+            continue
+        if expect in ("key", "first key"):
+            if text is None:
+                raise ValueError("not JSON")
+            held[-1][1], expect = json.loads(text), "colon"
+            continue
+        if expect not in ("value", "first value") or sign and sign not in "[{":
+            raise ValueError("not JSON")
+        if sign:
+            value = {} if sign == "{" else []
+        elif number is not None:
+            value = int(number) if number.lstrip("-").isdigit() else _decimal(number)
+        else:
+            value = json.loads(text) if text is not None else _LITERALS[literal]
+        if not held:
+            root = value
+        elif isinstance(held[-1][0], dict):
+            held[-1][0][held[-1][1]] = value
+        else:
+            held[-1][0].append(value)
+        if sign:
+            held.append([value, None])
+            expect = "first key" if sign == "{" else "first value"
+        else:
+            expect = "more" if held else "end"
+
+
+def _text(value: object) -> str:
+    """A value as JSON with sorted keys, however deep it is."""
+    try:
+        return json.dumps(value, sort_keys=True, ensure_ascii=False)
+    except (RecursionError, TypeError):
+        pass
+    out, todo = [], [value]
+    while todo:
+        value = todo.pop()
+        if isinstance(value, _Sign):
+            out.append(value)
+        elif isinstance(value, dict | list) and value:
+            pairs = [[_Sign(json.dumps(k, ensure_ascii=False) + ": "), value[k]] for k in sorted(value)] if isinstance(value, dict) else [[v] for v in value]
+            parts = [part for pair in pairs for part in (_Sign(", "), *pair)][1:]
+            opening, closing = "{}" if isinstance(value, dict) else "[]"
+            todo += reversed([_Sign(opening), *parts, _Sign(closing)])
+        else:
+            out.append(str(value) if isinstance(value, Decimal) else json.dumps(value, ensure_ascii=False))
+    return "".join(out)
+
+
+class _Sign(str):
+    """A piece of JSON text, as against a string value."""
+
+
+def _parsed(body: str) -> object:
+    sys.set_int_max_str_digits(0)  # an integer is one, however long it is
+    try:
+        return json.loads(body, parse_constant=_refuse, parse_float=_decimal)
+    except RecursionError:
+        return _nested(body)
+
+
 def _raw_type(value: object) -> str:
     if value is None:
         return "null"
@@ -38,25 +139,25 @@ def _raw_type(value: object) -> str:
         return "boolean"
     if isinstance(value, int):
         return "integer"
-    if isinstance(value, float):
+    if isinstance(value, float | Decimal):
         return "decimal"
     if isinstance(value, str):
         return "string"
     return "list" if isinstance(value, list) else "object"
 
 
-def path_values(body: str | None, opaque: tuple[str, ...] = ()) -> list[dict] | None:
+def path_values(body: str | None, opaque: tuple[str, ...] = (), digests: bool = False) -> list[dict] | None:
     """The entries of one body, containers included; None if it isn't valid JSON.
 
     Lists, and the objects whose path is in ``opaque``, are values of their own and aren't looked into. A
-    repeated key has its last value. Valid JSON other than an object has no fields. A body nested deeper
-    than the parser goes counts as unreadable.
+    repeated key has its last value. Valid JSON other than an object has no fields. Numbers of any length and
+    bodies of any depth are read. With ``digests`` the value of a list or an object is a 128-bit hash of its text.
     """
     if body is None:
         return None
     try:
-        root = json.loads(body, parse_constant=_refuse, parse_int=lambda s: int(s) if len(s) < 4000 else float(s))
-    except (ValueError, RecursionError):
+        root = _parsed(body)
+    except ValueError:
         return None
     if not isinstance(root, dict):
         return []
@@ -66,24 +167,29 @@ def path_values(body: str | None, opaque: tuple[str, ...] = ()) -> list[dict] |
         for key, value in held.items():
             path = f"{parent}.{key}" if parent else key
             kind = _raw_type(value)
-            text = value if kind == "string" else None if kind == "null" else json.dumps(value, sort_keys=True, ensure_ascii=False)
+            text = value if kind == "string" else None if kind == "null" else _text(value)
+            if digests and kind in ("list", "object"):
+                text = xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
             entries.append({"path": path, "parent": parent, "raw_type": kind, "value": text})
             if kind == "object" and path not in opaque:
                 todo.append((path, value))
     return list({e["path"]: e for e in entries}.values())
 
 
-@F.pandas_udf(ENTRIES)
-def _entries(body: pd.Series, kind: pd.Series) -> pd.Series:
-    return pd.Series([path_values(b, ("sources",) if k == "config" else ()) for b, k in zip(body, kind)], dtype=object)
+def _entries(digests: bool):
+    @F.pandas_udf(ENTRIES)
+    def entries(body: pd.Series, kind: pd.Series) -> pd.Series:
+        return pd.Series([path_values(b, ("sources",) if k == "config" else (), digests) for b, k in zip(body, kind)], dtype=object)
 
+    return entries("body", "file_kind")
 
-def read_files(files: DataFrame) -> DataFrame:
+
+def read_files(files: DataFrame, digests: bool = False) -> DataFrame:
     """One row per file: file_id, the series columns, written_at and ``entries`` (null if unreadable).
 
     A file delivered more than once counts once: the row that arrived last holds, ties by the greater
     body. Rows with a null file_id are left out, as no change could be laid to them. Surrogates and other
-    unusual characters are kept as they are.
+    unusual characters are kept as they are. The rows are written once, so no body is parsed again by what reads them.
     """
     one = (
         files.where("file_id IS NOT NULL")
@@ -91,7 +197,7 @@ def read_files(files: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("arrived_at", "written_at", *SERIES, "body")).alias("f"))
         .select("file_id", *[F.col(f"f.{c}").alias(c) for c in [*SERIES, "written_at", "body"]])
     )
-    return one.withColumn("entries", _entries("body", "file_kind")).drop("body")
+    return cut(one.withColumn("entries", _entries(digests)).drop("body"))
 
 
 def path_type_statistics(read: DataFrame) -> DataFrame:
@@ -157,32 +263,23 @@ def wide_table(read: DataFrame, file_kind: str, paths: dict[str, str]) -> DataFr
     return base.select("file_id", *SERIES, "written_at", *columns, failed.alias("failed_casts"))
 
 
-def with_previous(read: DataFrame, bucket_days: int = 7) -> DataFrame:
+def with_previous(read: DataFrame) -> DataFrame:
     """Each readable file with the entries of the readable file before it in its series (``before``).
 
     The order is written_at, then file_id; a null written_at comes first. A series may hold a third of all
-    files, so it isn't ordered as a whole: files are ordered within time buckets, and only the last file of
-    each bucket is carried to the next one.
+    files, so it isn't sorted in one task: files are numbered over ranges of the order, and each is joined with
+    the one that has the number before its own.
     """
-    series = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in SERIES])
-    bucket = F.coalesce(F.floor(F.unix_seconds("written_at") / F.lit(86400 * bucket_days)), F.lit(-(2**62)))
-    files = read.where("entries IS NOT NULL").select("file_id", "written_at", "entries", series.alias("series"), bucket.alias("bucket"))
-    inside = Window.partitionBy("series", "bucket").orderBy(F.col("written_at").asc_nulls_first(), "file_id")
-    linked = files.withColumn("rank", F.row_number().over(inside)).withColumn("near", F.lag("entries").over(inside))
-    last = files.groupBy("series", "bucket").agg(F.max(F.struct("written_at", "file_id")).alias("at"))
-    carried = (
-        last.withColumn("from", F.lag("at.file_id").over(Window.partitionBy("series").orderBy("bucket")))
-        .where("from IS NOT NULL")
-        .select("series", "bucket", "from")
-        .join(files.select(F.col("file_id").alias("from"), F.col("entries").alias("far")), "from")
-        .select("series", "bucket", F.lit(1).alias("rank"), "far")
-    )
-    return linked.join(carried, ["series", "bucket", "rank"], "left").select(
-        "file_id", "entries", F.coalesce("near", "far").alias("before")
-    )
+    files = read.where("entries IS NOT NULL").select("file_id", "written_at", *SERIES)
+    placed = cut(with_row_number(files, SERIES, ["written_at", "file_id"], "place").select("file_id", *SERIES, "place"))
+    earlier = placed.select(F.col("file_id").alias("from"), *[F.col(c).alias(f"__{c}") for c in SERIES], (F.col("place") + 1).alias("__place"))
+    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"__{c}")), SERIES, F.col("place") == F.col("__place"))
+    linked = placed.join(earlier, same).select("file_id", "from")
+    entries = read.select("file_id", "entries")
+    return linked.join(entries, "file_id").join(entries.select(F.col("file_id").alias("from"), F.col("entries").alias("before")), "from").drop("from")
 
 
-def schema_changes(files: DataFrame, bucket_days: int = 7) -> DataFrame:
+def schema_changes(files: DataFrame) -> DataFrame:
     """(file_id, change, field, new_field): each field a file added, removed, renamed or retyped.
 
     Files of equal (install_id, file_kind, source_name), nulls equal, form a series; unreadable bodies are
@@ -190,7 +287,7 @@ def schema_changes(files: DataFrame, bucket_days: int = 7) -> DataFrame:
     the enclosing object. A field that is gone and whose non-null value is there under one or more new
     paths is renamed, once for each of these. A type change to or from null is none.
     """
-    pairs = with_previous(read_files(files), bucket_days).where("before IS NOT NULL")
+    pairs = with_previous(read_files(files, digests=True))
     by_path = lambda entries: F.map_from_entries(F.transform(entries, lambda e: F.struct(e["path"], e["raw_type"])))
     typed = pairs.withColumn("now_types", by_path(F.col("entries"))).withColumn("old_types", by_path(F.col("before")))
 

@@ -1,6 +1,8 @@
 import json
 from datetime import datetime, timedelta
 
+import pytest
+
 from pagestrata.operators import schema_drift as D
 
 FILES = "file_id long, install_id long, file_kind string, source_name string, written_at timestamp, arrived_at timestamp, body string, series string"
@@ -55,11 +57,16 @@ def test_repeated_rows_ties_and_nulls(spark):
     assert changes(spark, []) == set()
 
 
-def test_bucket_width_makes_no_difference(spark):
-    rows = []
-    for install in range(3):
-        rows += files(*[{"a": k if k % 3 else str(k), f"f{k % 4}": k} for k in range(25)], install=install, first=100 * install + 1, days=2)
-    assert changes(spark, rows, bucket_days=1) == changes(spark, rows, bucket_days=10_000)
+def test_one_series_of_many_files_against_a_plain_loop(spark):
+    bodies = [{"a": k if k % 3 else str(k), f"f{k % 4}": {"n": k % 5}} for k in range(60)]
+    rows = files(*bodies, days=0)  # all written at one time, so that the id decides
+    expected = set()
+    for k in range(1, 60):
+        old, new = ({e["path"]: e["raw_type"] for e in D.path_values(json.dumps(b))} for b in bodies[k - 1 : k + 1])
+        expected |= {(k + 1, "retyped", p, "") for p in old.keys() & new.keys() if old[p] != new[p]}
+        gone, came = (next(p for p in a if p not in b) for a, b in ((old, new), (new, old)))
+        expected |= {(k + 1, "removed", gone, ""), (k + 1, "added", came, "")}
+    assert changes(spark, rows[::-1]) == expected
 
 
 def test_statistics_and_table(spark):
@@ -76,5 +83,24 @@ def test_statistics_and_table(spark):
 
 def test_path_values_of_odd_bodies():
     assert D.path_values("x" * 10) is None and D.path_values("[1]") == [] and D.path_values('{"a":1,"a":2}')[0]["value"] == "2"
-    assert D.path_values("[" * 100_000) is None
-    assert D.path_values('{"n": ' + "9" * 5000 + "}")[0]["raw_type"] in ("integer", "decimal")
+    assert D.path_values("[" * 100_000) is None and D.path_values("[" * 100_000 + "]" * 100_000) == []
+    entry = lambda text: {k: v for k, v in D.path_values('{"n": ' + text + "}")[0].items() if k in ("raw_type", "value")}
+    assert entry("9" * 5000) == {"raw_type": "integer", "value": "9" * 5000}
+    assert entry("1e999") == {"raw_type": "decimal", "value": "1E+999"}
+    deep = "[" * 50_000 + '{"b": [1, 2.5, "x,]", null, {}, []], "a": true}' + "]" * 50_000
+    assert entry(deep)["raw_type"] == "list" and entry(deep)["value"] == "[" * 50_000 + '{"a": true, "b": [1, 2.5, "x,]", null, {}, []]}' + "]" * 50_000
+    objects = D.path_values('{"a":' * 3000 + "1" + "}" * 3000)
+    assert len(objects) == 3000 and objects[-1]["path"] == ".".join("a" * 3000)
+
+
+def test_the_parser_of_deep_bodies_agrees():
+    good = ['{"a": [1, -2.5e3, "x\\"y", true, false, null], "b": {"c": {}}, "d": []}', "3", '"s"', " [ ] ", "[[1],[2,[3]]]", "{}"]
+    bad = ["", "[1,]", "{,}", '{"a"}', '{"a":}', "[1 2]", "]", "[}", "{1:2}", "[1]]", '{"a":1,}', "tru", "01", "[NaN]", '"a', "[,1]", ":", '{"a":1 "b":2}']
+    assert [D._nested(t) for t in good] == [json.loads(t) for t in good]
+    for text in bad:
+        with pytest.raises(ValueError):
+            D._nested(text)
+
+
+def test_an_integer_of_many_digits_is_no_change_of_type(spark):
+    assert changes(spark, [(1, 1, "m", "s", T0, T0, '{"n": 1}', None), (2, 1, "m", "s", T0 + timedelta(1), T0, '{"n": ' + "7" * 5000 + "}", None)]) == set()
