@@ -13,16 +13,22 @@ def content_hash(stored: Column, content: Column) -> Column:
     return F.coalesce(stored, sha256_hex(content))
 
 
-def previous_index(previous: DataFrame) -> DataFrame:
-    """(lookup, page_key, hash, idx): each earlier page by its key, its URL and its final URL.
+def previous_rows(previous: DataFrame, columns: list[str], *by: str) -> DataFrame:
+    """(by, lookup, previous): each earlier page, as a struct of ``columns``, by its key, its URL and its final URL.
 
-    ``previous`` has page_key, url, final_url, sha256 and idx, its place in the manifest. Of several pages for
-    one lookup the last holds, and of one page the final URL before the URL before the key.
+    ``previous`` has page_key, url, final_url and idx, its place in the manifest. Of several pages for one lookup
+    the last holds, and of one page the final URL before the URL before the key. What ``previous`` lacks is null.
     """
     ways = F.array(*[F.struct(F.col(c).alias("lookup"), F.lit(k).alias("way")) for k, c in enumerate(("page_key", "url", "final_url"))])
-    long = previous.select("page_key", "sha256", "idx", F.inline(ways)).where("lookup IS NOT NULL AND lookup <> ''")
-    newest = F.max(F.struct("idx", "way", "page_key", F.col("sha256").alias("hash"))).alias("p")
-    return long.groupBy("lookup").agg(newest).select("lookup", "p.page_key", "p.hash", "p.idx")
+    held = F.struct(*[F.col(c) if c in previous.columns else F.lit(None).alias(c) for c in columns])
+    long = previous.select(*by, "idx", held.alias("held"), F.inline(ways)).where("lookup IS NOT NULL AND lookup <> ''")
+    return long.groupBy(*by, "lookup").agg(F.max_by("held", F.struct("idx", "way")).alias("previous"))
+
+
+def previous_index(previous: DataFrame, *by: str) -> DataFrame:
+    """(by, lookup, page_key, hash, idx) of each earlier page by its key, its URL and its final URL."""
+    rows = previous_rows(previous, ["page_key", "sha256", "idx"], *by)
+    return rows.select(*by, "lookup", "previous.page_key", F.col("previous.sha256").alias("hash"), "previous.idx")
 
 
 def classify(has_previous: Column, before: Column, now: Column, git: bool = False) -> Column:
@@ -31,19 +37,20 @@ def classify(has_previous: Column, before: Column, now: Column, git: bool = Fals
     return F.when(fresh, "new").when(before.eqNullSafe(now) & before.isNotNull(), "unchanged").otherwise("changed")
 
 
-def diff_pages(current: DataFrame, previous: DataFrame, lookup: str = "url", git: bool = False) -> DataFrame:
+def diff_pages(current: DataFrame, previous: DataFrame, lookup: str = "url", git: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """The current pages with ``change_status`` and ``previous_hash``, and the earlier pages that are gone as ``removed``.
 
     ``current`` has page_key, sha256 and the lookup column; rows whose sha256 is null were skipped: their status is
-    unknown and they don't count as removed. Removed pages come once per key, with their last hash.
+    unknown and they don't count as removed. Removed pages come once per key, with their last hash. With ``by``
+    many snapshots are compared at once, each with the earlier pages of the same ``by``.
     """
-    index = previous_index(previous).select(F.col("lookup").alias("__lookup"), F.col("hash").alias("previous_hash"), F.lit(True).alias("__known"))
-    joined = current.join(index, current[lookup] == index["__lookup"], "left")
+    index = previous_index(previous, *by).select(*by, F.col("lookup").alias("__lookup"), F.col("hash").alias("previous_hash"), F.lit(True).alias("__known"))
+    joined = current.withColumn("__lookup", F.col(lookup)).join(index, [*by, "__lookup"], "left")
     status = F.when(F.col("sha256").isNull(), "unknown").otherwise(classify(F.col("__known").isNotNull(), F.col("previous_hash"), F.col("sha256"), git))
-    kept = joined.select("page_key", "sha256", "previous_hash", status.alias("change_status"))
-    gone = previous.join(current.select("page_key").distinct(), "page_key", "left_anti")
-    last = gone.groupBy("page_key").agg(F.max(F.struct("idx", "sha256")).alias("p"))
-    removed = last.select("page_key", F.lit(None).cast("string").alias("sha256"), F.col("p.sha256").alias("previous_hash"), F.lit("removed").alias("change_status"))
+    kept = joined.select(*by, "page_key", "sha256", "previous_hash", status.alias("change_status"))
+    gone = previous.join(current.select(*by, "page_key").distinct(), [*by, "page_key"], "left_anti")
+    last = gone.groupBy(*by, "page_key").agg(F.max(F.struct("idx", "sha256")).alias("p"))
+    removed = last.select(*by, "page_key", F.lit(None).cast("string").alias("sha256"), F.col("p.sha256").alias("previous_hash"), F.lit("removed").alias("change_status"))
     return kept.unionByName(removed)
 
 
@@ -57,15 +64,11 @@ def summarize(changes: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def reuse(current: DataFrame, previous: DataFrame, columns: list[str]) -> DataFrame:
-    """The current rows, those with status code 304 filled with the earlier page's columns where there is one.
+#: What a page that wasn't fetched again keeps of the earlier one.
+CARRIED = ["page_key", "fetch_method", "content_type", "sha256", "raw_sha256", "etag", "last_modified", "byte_size", "normalization", "quality", "page_path", "snapshot_label"]
 
-    Adds ``status`` (reused_not_modified for these) and ``reused``.
-    """
-    held = previous.select(F.col("url").alias("__url"), *[F.col(c).alias(f"__{c}") for c in columns]).dropDuplicates(["__url"])
-    joined = current.join(held, current["url"] == held["__url"], "left")
-    again = (F.col("status_code") == 304) & F.col("__url").isNotNull()
-    filled = joined.withColumn("reused", F.coalesce(again, F.lit(False)))
-    for c in columns:
-        filled = filled.withColumn(c, F.when(F.col("reused"), F.col(f"__{c}")).otherwise(F.col(c) if c in current.columns else F.lit(None)))
-    return filled.withColumn("status", F.when(F.col("reused"), "reused_not_modified").otherwise(F.col("status") if "status" in current.columns else F.lit("stored"))).drop("__url", *[f"__{c}" for c in columns])
+
+def reuse(current: DataFrame, previous: DataFrame, lookup: str = "url", by: tuple[str, ...] = ()) -> DataFrame:
+    """The current rows with ``previous``, the whole earlier page found by its key, URL or final URL, null if there is none."""
+    index = previous_rows(previous, CARRIED, *by).withColumnRenamed("lookup", "__lookup")
+    return current.withColumn("__lookup", F.col(lookup)).join(index, [*by, "__lookup"], "left").drop("__lookup")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagestrata.functions import urls
 from pagestrata.functions.text import ascii_lower, lines, trimmed
+from pagestrata.session import cut
 
 #: Where an address may come from, strongest first.
 ORIGINS = ["seed_page", "llms_txt", "llms_full_txt", "sitemap"]
@@ -77,10 +78,10 @@ def walk_sitemaps(documents: DataFrame, roots: DataFrame, limit: int = MAX_SITEM
     nested = entries.where("kind = 'sitemap'").select("sitemap_url", F.col("url").alias("child"))
     for _ in range(limit):
         step = new.join(nested, "sitemap_url").select("root", F.col("child").alias("sitemap_url")).distinct()
-        new = step.join(reached, ["root", "sitemap_url"], "left_anti").checkpoint()
+        new = cut(step.join(reached, ["root", "sitemap_url"], "left_anti"))
         if new.isEmpty():
             break
-        reached = reached.unionByName(new).checkpoint()
+        reached = cut(reached.unionByName(new))
         worst = reached.groupBy("root").count().agg(F.max("count")).first()[0]
         if worst > limit:
             raise ValueError(f"more than {limit} sitemap documents below one root")

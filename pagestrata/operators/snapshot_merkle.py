@@ -3,8 +3,9 @@
 Each snapshot's live pages are spread over ``2**leaf_bits`` ranges of the hash of their key. A leaf's
 digest is the XOR of two independently seeded 64-bit hashes of (key, content hash) plus a row count, so it
 is a mergeable aggregate (map-side partial, no ordering) and an inner node's digest is the XOR of its
-children. Two snapshots are compared from the root downwards; only the leaves whose digests differ are
-opened, and only their rows are joined.
+children. Two snapshots are compared from the root downwards; below nodes that are equal nothing is looked at.
+Only the leaves whose digests differ are opened: their pages are read, and only these are joined. Digests may be
+stored with the snapshots, and then nothing else of the pages is read.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagestrata.session import cut
+from pagestrata.session import broadcast_if_small, cut
 
 #: The characters that count as surrounding white space of a stored hash.
 HASH_MARGIN = " \t\n\r\f\x0b "
@@ -67,87 +68,82 @@ def _leaf(bits: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64("page_key"), 64 - bits)
 
 
-def leaf_digests(live: DataFrame) -> DataFrame:
-    """(source_name, snapshot_label, node, d1, d2, n) of every leaf that holds a page."""
-    return live.groupBy("source_name", "snapshot_label", F.col("leaf").alias("node")).agg(
+def leaf_digests(pages: DataFrame, bits: int) -> DataFrame:
+    """(source_name, snapshot_label, node, d1, d2, n) of every leaf that holds a page; what is stored with snapshots."""
+    return live_pages(pages).groupBy("source_name", "snapshot_label", _leaf(bits).alias("node")).agg(
         F.bit_xor(F.xxhash64("page_key", "sha")).alias("d1"),
         F.bit_xor(F.xxhash64(F.lit("second"), "sha", "page_key")).alias("d2"),
         F.count(F.lit(1)).alias("n"),
     )
 
 
-def parent_digests(digests: DataFrame) -> DataFrame:
-    """The digests one level up."""
-    return digests.groupBy(
-        "source_name", "snapshot_label", F.shiftrightunsigned("node", FANOUT_BITS).alias("node")
-    ).agg(F.bit_xor("d1").alias("d1"), F.bit_xor("d2").alias("d2"), F.sum("n").alias("n"))
+def digests_above(leaves: DataFrame, height: int) -> DataFrame:
+    """The digests of the nodes ``height`` levels above the leaves, with the parent of each."""
+    node = F.shiftrightunsigned("node", FANOUT_BITS * height)
+    return leaves.groupBy("source_name", "snapshot_label", node.alias("node")).agg(
+        F.bit_xor("d1").alias("d1"), F.bit_xor("d2").alias("d2"), F.sum("n").alias("n")
+    ).withColumn("parent", F.shiftrightunsigned("node", FANOUT_BITS))
 
 
-def _differing(pairs: DataFrame, digests: DataFrame) -> DataFrame:
-    """Nodes whose digests differ between the two snapshots of a pair, in one level."""
+PAIR = ["source_name", "snapshot_label", "previous_label"]
+
+
+def _differing(opened: DataFrame, digests: DataFrame) -> DataFrame:
+    """The children of opened nodes (a pair's keys, parent) whose digests differ between the snapshots of the pair."""
     digest = F.struct("d1", "d2", "n")
-    keys = ["source_name", "snapshot_label", "previous_label"]
-    cur = pairs.join(digests, ["source_name", "snapshot_label"]).select(*keys, "node", digest.alias("cur"), F.lit(None).cast("struct<d1:bigint,d2:bigint,n:bigint>").alias("prev"))
+    none = F.lit(None).cast("struct<d1:bigint,d2:bigint,n:bigint>")
+    cur = opened.join(digests, ["source_name", "snapshot_label", "parent"]).select(*PAIR, "node", digest.alias("cur"), none.alias("prev"))
     old = digests.withColumnRenamed("snapshot_label", "previous_label")
-    prev = pairs.join(old, ["source_name", "previous_label"]).select(*keys, "node", F.lit(None).cast("struct<d1:bigint,d2:bigint,n:bigint>").alias("cur"), digest.alias("prev"))
+    prev = opened.join(old, ["source_name", "previous_label", "parent"]).select(*PAIR, "node", none.alias("cur"), digest.alias("prev"))
     return (
         cur.unionByName(prev)
-        .groupBy(*keys, "node")
+        .groupBy(*PAIR, "node")
         .agg(F.first("cur", ignorenulls=True).alias("cur"), F.first("prev", ignorenulls=True).alias("prev"))
         .where(~F.col("cur").eqNullSafe(F.col("prev")))
-        .select(*keys, "node")
+        .select(*PAIR, "node")
     )
 
 
 def differing_leaves(pairs: DataFrame, leaves: DataFrame, bits: int) -> DataFrame:
-    """(source_name, snapshot_label, previous_label, node) of the leaves to open, found top-down."""
-    levels = [leaves]
-    for _ in range(bits // FANOUT_BITS):
-        levels.append(parent_digests(levels[-1]))
-    open_nodes = _differing(pairs, levels[-1])
-    keys = ["source_name", "snapshot_label", "previous_label"]
-    for digests in reversed(levels[:-1]):
-        # Children of equal parents are equal, so they are pruned before the digests are joined.
-        below = _differing(pairs.join(open_nodes.select(*keys).distinct(), keys, "left_semi"), digests)
-        open_nodes = (
-            below.withColumn("parent", F.shiftrightunsigned("node", FANOUT_BITS))
-            .join(open_nodes.withColumnRenamed("node", "parent"), [*keys, "parent"], "left_semi")
-            .select(*keys, "node")
-        )
-    return open_nodes
-
-
-def snapshot_changes(pages: DataFrame, snapshots: DataFrame, rows_per_leaf: int = ROWS_PER_LEAF) -> DataFrame:
+    """(source_name, snapshot_label, previous_label, node) of the leaves to open, found top-down.
+
+    Each level is written before the next one is looked at, so that only children of differing nodes are joined.
+    """
+    opened = pairs.select(*PAIR, F.lit(0).cast("bigint").alias("node"))
+    for height in range(bits // FANOUT_BITS, -1, -1):
+        opened = cut(_differing(broadcast_if_small(opened.withColumnRenamed("node", "parent")), digests_above(leaves, height)))
+    return opened
+
+
+def snapshot_changes(
+    pages: DataFrame, snapshots: DataFrame, rows_per_leaf: int = ROWS_PER_LEAF, digests: DataFrame | None = None, bits: int | None = None
+) -> DataFrame:
     """(source_name, snapshot_label, page_key, change) of each fetched snapshot against its predecessor.
 
     ``change`` is added, removed or changed; a page whose hash is null on either side isn't changed. A
     predecessor without any page makes every page added; a snapshot without any page makes every page of
     its predecessor removed. Empty tables give an empty result. Extra columns are ignored. ``change_status``
-    isn't read.
+    isn't read. ``digests`` are stored ``leaf_digests`` of all these snapshots, made with ``bits``.
     """
     pairs = cut(snapshot_pairs(snapshots))
-    labels = (
-        pairs.select("source_name", "snapshot_label")
-        .union(pairs.select("source_name", "previous_label"))
-        .distinct()
-    )
-    trees = labels.count()
-    bits = leaf_bits_for(pages.count(), trees, rows_per_leaf)
-    wanted = pages.select("source_name", "snapshot_label", "page_key", "fetched_at", "status", "sha256").join(
-        labels, ["source_name", "snapshot_label"], "left_semi"
-    )
-    live = cut(live_pages(wanted).withColumn("leaf", _leaf(bits)))
-    leaves = cut(leaf_digests(live))
-    opened = cut(differing_leaves(pairs, leaves, bits).withColumnRenamed("node", "leaf"))
-
+    labels = cut(pairs.select("source_name", "snapshot_label").union(pairs.select("source_name", "previous_label")).distinct())
+    columns = ["source_name", "snapshot_label", "page_key", "fetched_at", "status", "sha256"]
+    wanted = pages.select(*columns).join(broadcast_if_small(labels), ["source_name", "snapshot_label"], "left_semi")
+    if digests is None:
+        bits = leaf_bits_for(pages.count(), labels.count(), rows_per_leaf)
+        digests = cut(leaf_digests(wanted, bits))
+    opened = differing_leaves(pairs, digests, bits).withColumnRenamed("node", "leaf")
+
+    # the two sides of each opened leaf: whose pages it holds, and in which pair
+    side = lambda label, role: opened.select("source_name", F.col(label).alias("label"), "leaf", "snapshot_label", "previous_label", F.lit(role).alias("role"))
+    sides = broadcast_if_small(cut(side("snapshot_label", 1).union(side("previous_label", 0))))
+    read = wanted.withColumnRenamed("snapshot_label", "label").withColumn("leaf", _leaf(bits))
+    in_opened = read.join(sides.select("source_name", "label", "leaf"), ["source_name", "label", "leaf"], "left_semi")
+    live = live_pages(in_opened.withColumnRenamed("label", "snapshot_label")).withColumnRenamed("snapshot_label", "label").withColumn("leaf", _leaf(bits))
     keys = ["source_name", "snapshot_label", "page_key"]
-    side = lambda role: F.struct(F.lit(role).alias("role"), "sha")
-    now = opened.join(live, ["source_name", "snapshot_label", "leaf"]).select(*keys, "previous_label", side(1).alias("row"))
-    before = opened.join(
-        live.withColumnRenamed("snapshot_label", "previous_label"), ["source_name", "previous_label", "leaf"]
-    ).select(*keys, "previous_label", side(0).alias("row"))
+    rows = live.join(sides, ["source_name", "label", "leaf"]).select(*keys, "previous_label", F.struct("role", "sha").alias("row"))
     is_now, is_before = F.col("row.role") == 1, F.col("row.role") == 0
-    merged = now.unionByName(before).groupBy(*keys, "previous_label").agg(
+    merged = rows.groupBy(*keys, "previous_label").agg(
         F.count_if(is_now).alias("in_now"),
         F.count_if(is_before).alias("in_before"),
         F.max(F.when(is_now, F.col("row.sha"))).alias("sha_now"),

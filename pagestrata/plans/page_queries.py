@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagestrata.functions import classify, text, urls
-from pagestrata.operators import chunk, diff, frontier, html, import_plan, normalize, quality, snapshot_merkle, summary
+from pagestrata.operators import chunk, diff, frontier, html, import_plan, normalize, quality, ranks, snapshot_merkle, summary
 from pagestrata.plans.corpus_queries import P3_SQL
+from pagestrata.session import cut
 from pagestrata.sources.tables import table
 
 QUERIES = {}
@@ -247,9 +248,9 @@ def content_hashes(spark: SparkSession, folder: str) -> DataFrame:
 
 def _snapshot_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Every row of pages with its place in its snapshot's manifest."""
-    pages = table(spark, folder, "pages")
-    order = Window.partitionBy("source_name", "snapshot_label").orderBy("page_key", "fetched_at", "status", "sha256", "change_status", "url", "final_url")
-    return pages.withColumn("idx", F.row_number().over(order))
+    order = ["page_key", "fetched_at", "status", "sha256", "change_status", "url", "final_url"]
+    pages = table(spark, folder, "pages").select("source_name", "snapshot_label", *order, "page_path", F.struct("quality.rating", "quality.word_count", "quality.score").alias("quality"))
+    return ranks.with_row_number(pages, ["source_name", "snapshot_label"], order, "idx")
 
 
 _IDX_SQL = """i AS (SELECT *, row_number() OVER (PARTITION BY source_name, snapshot_label ORDER BY page_key NULLS FIRST, fetched_at NULLS FIRST, status NULLS FIRST, sha256 NULLS FIRST, change_status NULLS FIRST, url NULLS FIRST, final_url NULLS FIRST) AS idx FROM pages),
@@ -461,7 +462,7 @@ def normalized_pages(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def page_pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """Normalize, score and chunk every page: one row per chunk with its page's score."""
-    pages = normalize.normalize_pages(table(spark, folder, "page_bodies"), ["body_id"]).select("body_id", "markdown")
+    pages = cut(normalize.normalize_pages(table(spark, folder, "page_bodies"), ["body_id"]).select("body_id", "markdown"))
     scored = quality.score_pages(pages).select("body_id", "score", "rating")
     parts = chunk.chunk_pages(pages, ["body_id"]).select("body_id", "ordinal", "word_count", "sha256", F.array_join("section_path", " > ").alias("section_path"))
     return parts.join(scored, "body_id")

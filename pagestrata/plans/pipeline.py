@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagestrata.functions import classify, urls
@@ -36,10 +36,12 @@ class Snapshot:
         return summary.fetch_summary(self.pages)
 
 
-def _documents(rows: DataFrame, key: Column, git: bool, previous: DataFrame | None) -> Snapshot:
-    """The common part: rows with url, final_url, fetch_method, status, raw and markdown (null if skipped)."""
-    keyed = rows.withColumn("page_key", key)
-    clean = normalize.normalize_pages(keyed.where("markdown IS NOT NULL").select("page_key", "markdown"), ["page_key"])
+def _documents(rows: DataFrame, git: bool, previous: DataFrame | None) -> Snapshot:
+    """The common part: rows with page_key, url, final_url, fetch_method, status, raw_sha256 and markdown (null if skipped).
+
+    A row with ``held``, the earlier page of an answer that says it is unchanged, takes over what that page had.
+    """
+    clean = normalize.normalize_pages(rows.where("markdown IS NOT NULL").select("page_key", "markdown"), ["page_key"])
     scored = quality.score_pages(clean)
     texts = cut(scored.select(
         "page_key", "markdown", sha256_hex(F.col("markdown")).alias("sha256"), F.octet_length("markdown").cast("bigint").alias("byte_size"),
@@ -49,47 +51,58 @@ def _documents(rows: DataFrame, key: Column, git: bool, previous: DataFrame | No
         ).alias("normalization"),
         F.struct(*[F.col(c).cast("float").alias(c) if c == "text_density" else F.col(c) for c in QUALITY_COLUMNS]).alias("quality"),
     ))
-    pages = keyed.drop("markdown").join(texts.drop("markdown"), "page_key", "left")
+    pages = rows.drop("markdown").join(texts.drop("markdown"), "page_key", "left")
+    kept = F.lit(False)
+    if "held" in rows.columns:
+        kept = F.col("held").isNotNull()
+        types = dict(pages.dtypes)
+        carry = [c for c in diff.CARRIED if c in types and c != "page_key"]
+        pages = pages.withColumns({c: F.when(kept, F.col(f"held.{c}").cast(types[c])).otherwise(F.col(c)) for c in carry})
+        pages = pages.withColumns({"reused_from_snapshot": F.col("held.snapshot_label"), "byte_size": F.when(kept & F.col("held.page_path").isNull(), 0).otherwise(F.col("byte_size"))})
     if previous is None:
-        status = F.when(F.col("sha256").isNull(), "unknown").otherwise("new")
-        done = pages.withColumn("change_status", status)
+        done = pages.withColumn("change_status", F.when(F.col("sha256").isNull(), "unknown").otherwise("new"))
     else:
-        lookup = pages.select("page_key", "sha256", (F.col("page_key") if git else F.col("url")).alias("url"))
-        changes = diff.diff_pages(lookup, previous, git=git).select("page_key", "change_status").distinct()
+        changes = diff.diff_pages(pages.select("page_key", "sha256", "url"), previous, "page_key" if git else "url", git).select("page_key", "change_status").distinct()
         done = pages.join(changes, "page_key", "full").withColumn("status", F.when(F.col("change_status") == "removed", "removed").otherwise(F.col("status")))
+        if git and "snapshot_label" in previous.columns:
+            label = previous.agg(F.max("snapshot_label").alias("label")).first().label  # one snapshot has one label
+            done = done.withColumn("reused_from_snapshot", F.when(F.col("change_status") == "unchanged", F.lit(label)))
     stem = F.when(F.lit(git), F.regexp_replace("page_key", "[.]mdx?$", "")).otherwise(urls.storage_stem(F.col("final_url")))
-    stored = F.col("sha256").isNotNull()
+    stored = F.col("sha256").isNotNull() & F.coalesce(~kept | F.col("held.page_path").isNotNull(), F.lit(True)) if "held" in rows.columns else F.col("sha256").isNotNull()
+    if "held" in rows.columns:
+        done = done.withColumn("change_status", F.when(F.coalesce(kept, F.lit(False)), "unchanged").otherwise(F.col("change_status")))
     placed = done.withColumn("page_path", F.when(stored, F.concat(F.lit("pages/"), urls.markdown_path(stem)))).withColumn("metadata_path", urls.metadata_path(F.col("page_path")))
-    parts = chunk.chunk_pages(texts, ["page_key"])
-    return Snapshot(placed, parts)
+    return Snapshot(placed.drop("held"), chunk.chunk_pages(texts, ["page_key"]))
 
 
-def snapshot_of_responses(responses: DataFrame, previous: DataFrame | None = None, keep_chrome: bool = False) -> Snapshot:
+def snapshot_of_responses(responses: DataFrame, previous: DataFrame | None = None, previous_chunks: DataFrame | None = None, keep_chrome: bool = False) -> Snapshot:
     """A snapshot of HTTP responses (the columns of ``sources.http.RESPONSE``, optionally rendered_html).
 
-    A 304 answer keeps what the earlier page had; HTML is turned to Markdown, from the rendered page where there is
-    one; anything else is skipped with its status. ``previous`` is the earlier snapshot's pages with idx.
+    A 304 answer keeps what the earlier page had, found by its key, URL or final URL, and its chunks; without an
+    earlier page it is skipped. HTML is turned to Markdown, from the rendered page where there is one; anything
+    else is skipped with its status. ``previous`` is the earlier snapshot's pages with idx. The raw hash is that of
+    the bytes in ``raw``, or of the body where a response has no bytes.
     """
     rendered = F.col("rendered_html") if "rendered_html" in responses.columns else F.lit(None).cast("string")
-    known = F.lit(previous is not None)
-    route = classify.response_route(F.col("status_code"), known, F.col("final_url"), F.col("content_type"))
-    routed = responses.withColumn("route", route)
+    found = responses.withColumn("previous", F.lit(None).cast("struct<page_key:string>")) if previous is None else diff.reuse(responses, previous)
+    route = classify.response_route(F.col("status_code"), F.col("previous").isNotNull(), F.col("final_url"), F.col("content_type"))
+    routed = found.withColumn("route", route)
+    again = F.col("route") == "reuse"
     source = F.coalesce(rendered, F.col("body"))
     markdown = F.when(F.col("route") == "markdown", F.col("body")).when(F.col("route") == "html", html.html_to_markdown(source, keep_chrome))
     method = F.when(F.col("route") == "html", F.when(rendered.isNotNull(), "headless_html_fallback").otherwise("html_fallback")).otherwise("markdown_negotiation")
-    status = F.when(F.col("route") == "skip", classify.skipped_status(F.col("status_code"))).when(F.col("route") == "reuse", "reused_not_modified").otherwise("stored")
+    status = F.when(F.col("route") == "skip", classify.skipped_status(F.col("status_code"))).when(again, "reused_not_modified").otherwise("stored")
+    raw = F.coalesce("raw", F.encode("body", "UTF-8")) if "raw" in responses.columns else F.encode("body", "UTF-8")
     rows = routed.select(
-        "url", "final_url", method.alias("fetch_method"), status.alias("status"), "content_type", "etag", "last_modified", F.when(F.col("route") != "reuse", sha256_hex(F.col("body"))).alias("raw_sha256"), markdown.alias("markdown")
+        F.when(again, F.col("previous.page_key")).otherwise(F.col("final_url")).alias("page_key"), "url", "final_url", method.alias("fetch_method"), status.alias("status"), "content_type", "etag", "last_modified",
+        F.when(~again, F.sha2(raw, 256)).alias("raw_sha256"), markdown.alias("markdown"), *([F.when(again, F.col("previous")).alias("held")] if previous is not None else []),
     )
-    made = _documents(rows, F.col("final_url"), False, previous)
-    if previous is None:
+    made = _documents(rows, False, previous)
+    if previous_chunks is None:
         return made
-    held = previous.select("url", F.col("sha256").alias("__sha256")).where("url IS NOT NULL").dropDuplicates(["url"])
-    again = F.col("status") == "reused_not_modified"
-    pages = made.pages.join(held, "url", "left").withColumns({
-        "sha256": F.when(again, F.col("__sha256")).otherwise(F.col("sha256")), "change_status": F.when(again, "unchanged").otherwise(F.col("change_status")),
-    }).drop("__sha256")
-    return Snapshot(pages, made.chunks)
+    kept = rows.where("status = 'reused_not_modified'").select("page_key").distinct()
+    copied = previous_chunks.select(*made.chunks.columns).join(kept, "page_key", "left_semi")
+    return Snapshot(made.pages, made.chunks.unionByName(copied))
 
 
 def snapshot_of_tree(spark: SparkSession, root: str, repo: str, ref: str, previous: DataFrame | None = None, docs_path: str | None = None) -> Snapshot:
@@ -100,9 +113,9 @@ def snapshot_of_tree(spark: SparkSession, root: str, repo: str, ref: str, previo
     key = urls.relative_to(F.col("path"), F.lit(folder))
     rows = inside.select(
         urls.git_page_id(F.lit(repo), F.lit(ref), key).alias("url"), F.lit("git_checkout").alias("fetch_method"), F.lit("stored").alias("status"), urls.content_type_of(F.col("path")).alias("content_type"),
-        sha256_hex(F.col("body")).alias("raw_sha256"), F.col("body").alias("markdown"), key.alias("__key"),
+        F.sha2("raw", 256).alias("raw_sha256"), F.col("body").alias("markdown"), key.alias("page_key"),
     ).withColumn("final_url", F.col("url"))
-    return _documents(rows, F.col("__key"), True, previous)
+    return _documents(rows, True, previous)
 
 
 def store_snapshot(made: Snapshot, root: str, source: str, label: str) -> None:
@@ -111,18 +124,30 @@ def store_snapshot(made: Snapshot, root: str, source: str, label: str) -> None:
     store.write_snapshot(made.chunks, root, "chunks", source, label)
 
 
-def previous_pages(spark: SparkSession, root: str, source: str, label: str) -> DataFrame | None:
-    """The pages of the snapshot before ``label``, numbered, or None if there is none."""
+def _before(spark: SparkSession, root: str, source: str, label: str) -> str | None:
     try:
-        before = store.previous_label(spark, root, source, label)
+        return store.previous_label(spark, root, source, label)
     except Exception as trouble:  # nothing is stored yet
         if "PATH_NOT_FOUND" in str(trouble) or "UNABLE_TO_INFER_SCHEMA" in str(trouble):
             return None
         raise
+
+
+def previous_pages(spark: SparkSession, root: str, source: str, label: str) -> DataFrame | None:
+    """The pages of the snapshot before ``label``, numbered, or None if there is none."""
+    before = _before(spark, root, source, label)
     if before is None:
         return None
     rows = store.read_snapshots(spark, root, "pages").where((F.col("source_name") == source) & (F.col("snapshot_label") == before))
-    return rows.select("page_key", "url", "final_url", "sha256", F.xxhash64("page_key").alias("idx"))
+    return rows.withColumn("snapshot_label", F.col("snapshot_label").cast("string")).withColumn("idx", F.xxhash64("page_key"))
+
+
+def previous_chunks(spark: SparkSession, root: str, source: str, label: str) -> DataFrame | None:
+    """The chunks of the snapshot before ``label``, or None if there is none."""
+    before = _before(spark, root, source, label)
+    if before is None:
+        return None
+    return store.read_snapshots(spark, root, "chunks").where((F.col("source_name") == source) & (F.col("snapshot_label") == before))
 
 
 def plan_import(spark: SparkSession, root: str, source: str, label: str | None = None, all_pages: bool = False, include_low_signal: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from datetime import UTC, datetime
 from pathlib import Path
 
 from pagestrata import schemas
+from pagestrata.functions.given import first_given  # noqa: F401  the order in which settings hold
 
 
 @dataclass(frozen=True)
@@ -88,8 +89,3 @@ class Registry:
             self.version = schemas.CONFIG_VERSION
             self.save()
         return old
-
-
-def first_given(*values: str | None) -> str | None:
-    """The first value that is given and not blank: argument, source, config, environment."""
-    return next((v for v in values if v and v.strip()), None)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Settings that any session of this library wants; size-dependent ones are left to the cluster.
 BASE_CONF = {
@@ -51,3 +54,22 @@ def cut(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: A written side of a join is broadcast up to this size.
+BROADCAST_BYTES = 16 << 20
+
+
+def broadcast_if_small(written: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A side of a join, with a broadcast hint if its rows weigh at most ``limit`` bytes.
+
+    A join that learns this only while it runs has already moved its other side. ``written`` is read once more,
+    so it should be the result of ``cut`` or a table.
+    """
+
+    def weight(field: T.StructField):
+        size = {T.StringType: F.octet_length, T.BinaryType: F.octet_length, T.ArrayType: lambda c: 8 * F.size(c)}.get(type(field.dataType))
+        return F.coalesce(size(F.col(field.name)), F.lit(0)) + 16 if size else F.lit(16)
+
+    held = written.agg(F.sum(reduce(lambda a, b: a + b, map(weight, written.schema)))).first()[0] or 0
+    return F.broadcast(written) if held <= limit else written

@@ -9,10 +9,10 @@ from pagestrata.functions import urls
 
 
 def markdown_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, body) of the Markdown files below a checked-out tree; path is relative to ``root``, bad bytes are replaced."""
+    """(path, body, raw) of the Markdown files below a checked-out tree; path is relative to ``root``, ``raw`` are the file's bytes, and bad ones are replaced in ``body``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,mdx}").load(root)
     inside = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    return files.select(urls.relative_to(inside, F.lit(root.rstrip("/"))).alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("body"))
+    return files.select(urls.relative_to(inside, F.lit(root.rstrip("/"))).alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("body"), F.col("content").alias("raw"))
 
 
 def file_tree(spark: SparkSession, root: str) -> DataFrame:

@@ -30,7 +30,7 @@ def test_two_snapshots_and_an_import(spark, tmp_path):
     }
     assert rows["a"].page_path == "pages/s.t/a.md" and rows["a"].quality.rating == "high" and rows["d"].page_path is None
     second = spark.createDataFrame([response("a", 304, None, None), response("b", body=LONG + "\nchanged"), response("n", body=LONG + "\nn"), response("d", 500)], RESPONSES)
-    made = pipeline.snapshot_of_responses(second, pipeline.previous_pages(spark, root, "s", "v2"))
+    made = pipeline.snapshot_of_responses(second, pipeline.previous_pages(spark, root, "s", "v2"), pipeline.previous_chunks(spark, root, "s", "v2"))
     pipeline.store_snapshot(made, root, "s", "v2")
     pages = store.read_snapshots(spark, root, "pages").where("snapshot_label = 'v2'")
     assert {r.page_key[-1]: (r.status, r.change_status) for r in pages.collect()} == {
@@ -41,10 +41,36 @@ def test_two_snapshots_and_an_import(spark, tmp_path):
         store.snapshot_or_latest(spark, root, "s", "v9")
     planned, parts = pipeline.plan_import(spark, root, "s")
     assert {r.page_key[-1]: r.item_status for r in planned.collect()} == {"b": "planned", "n": "planned"}
+    # the page that wasn't fetched again has all that it had, and its chunks
+    a, was = pages.where("page_key LIKE '%/a'").first(), rows["a"]
+    same = ["page_path", "metadata_path", "sha256", "raw_sha256", "byte_size", "normalization", "quality", "content_type", "fetch_method"]
+    assert [a[c] for c in same] == [was[c] for c in same] and a.reused_from_snapshot == "v1" and a.byte_size > 0
+    everything, artifacts = pipeline.plan_import(spark, root, "s", all_pages=True)
+    assert {r.page_key[-1]: r.item_status for r in everything.collect()} == {"a": "planned", "b": "planned", "n": "planned"}
+    assert {r.page_key[-1] for r in artifacts.where("artifact NOT LIKE 'pages/%'").collect()} == {"a", "b", "n"}
     assert parts.count() == 2 and import_plan.search(store.read_snapshots(spark, root, "chunks"), "PLAIN words").count() > 0
     page = report.snapshot_html("s", made.diff().first().asDict(), pages)
     assert "https://s.t/b" in page and "changed" in page and "<b>1</b>" in page
-    assert summary.fetch_summary(pages).first().stored_pages == 2
+    assert summary.fetch_summary(pages).first().stored_pages == 3
+
+
+def test_not_modified_without_an_earlier_page_is_skipped(spark):
+    previous = spark.createDataFrame([("k", "https://s.t/u", "https://s.t/f", "h", "v1", 1)], "page_key string, url string, final_url string, sha256 string, snapshot_label string, idx long")
+    rows = spark.createDataFrame([response("f", 304, None, None), response("x", 304, None, None)], RESPONSES)
+    out = {r.url[-1]: r for r in pipeline.snapshot_of_responses(rows, previous).pages.where("status <> 'removed'").collect()}
+    assert (out["f"].page_key, out["f"].status, out["f"].sha256, out["f"].page_path, out["f"].byte_size) == ("k", "reused_not_modified", "h", None, 0)
+    assert (out["x"].status, out["x"].change_status) == ("skipped_http_304", "unknown")
+
+
+def test_raw_hash_is_of_the_bytes(spark, tmp_path):
+    import hashlib
+
+    raw = b"# A \xff\n\nbody"
+    (tmp_path / "a.md").write_bytes(raw)
+    made = pipeline.snapshot_of_tree(spark, str(tmp_path), "https://g/r.git", "main", docs_path="")
+    assert made.pages.first().raw_sha256 == hashlib.sha256(raw).hexdigest()
+    row = (*response("a", body=raw.decode("utf-8", "replace")), bytearray(raw))
+    assert pipeline.snapshot_of_responses(spark.createDataFrame([row], RESPONSES + ", raw binary")).pages.first().raw_sha256 == hashlib.sha256(raw).hexdigest()
 
 
 def test_tree(spark, tmp_path):

@@ -199,8 +199,12 @@ def test_diff(spark):
     git = {r.page_key: r.change_status for r in diff.diff_pages(current, previous, git=True).collect()}
     assert git["nohash"] == "changed"
     assert diff.summarize(diff.diff_pages(current, previous)).first().asDict() == {"new_pages": 2, "changed_pages": 0, "unchanged_pages": 1, "removed_pages": 2, "import_candidates": 2}
-    held = diff.reuse(spark.createDataFrame([("u1", 304, None), ("u2", 200, "x"), ("u9", 304, None)], "url string, status_code int, sha256 string"), previous.where("url IS NOT NULL"), ["sha256"])
-    assert {r.url: (r.sha256, r.status) for r in held.collect()} == {"u1": ("h0", "reused_not_modified"), "u2": ("x", "stored"), "u9": (None, "stored")}
+    held = diff.reuse(spark.createDataFrame([("u1",), ("u2",), ("removed",)], "url string"), previous)
+    assert {r.url: r.previous and (r.previous.page_key, r.previous.sha256, r.previous.etag) for r in held.collect()} == {"u1": ("other", "h1", None), "u2": None, "removed": ("removed", "h9", None)}
+    many = diff.diff_pages(current.withColumn("v", F.lit(1)), previous.withColumn("v", F.col("idx") % 2), by=("v",))
+    assert {(r.v, r.page_key): r.change_status for r in many.collect()} == {
+        (1, "intro"): "changed", (1, "ref"): "new", (1, "bad"): "unknown", (1, "nohash"): "new", (1, "removed"): "removed", (0, "other"): "removed", (0, "bad"): "removed",
+    }
 
 
 def test_import_plan(spark):
