@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagestrata.functions.text import SPACES
-from pagestrata.session import cut
+from pagestrata.session import broadcast_if_small, cut
 
 #: A sentence is the site's own if it is on this share of the host's pages, a label if its menu's labels are.
 SENTENCE_SHARE = 0.15
@@ -34,8 +34,6 @@ LABEL_SHARE = 0.2
 #: An element with slots is the site's own if elements of its kind are on this share of the host's pages.
 ELEMENT_SHARE = 0.01
 LEAST_PAGES = 4
-#: The hosts' recurring keys are broadcast up to this size, beyond it they are joined by shuffling.
-BROADCAST_BYTES = 16 << 20
 
 BLANK, TEXT, ITEM, LINK, HEADING, TITLE, CODE, TABLE, QUOTE, BULLET = range(10)
 ENTRIES = (ITEM, LINK, BULLET)
@@ -470,13 +468,8 @@ def recurring_keys(analysed: DataFrame, sentence_share: float = SENTENCE_SHARE,
 
 
 def with_recurring(analysed: DataFrame) -> DataFrame:
-    """The analysed pages with their host's array of recurring keys, null where none recurs.
-
-    The arrays are written and weighed first, as a join that learns their size too late has moved all pages by then.
-    """
-    hosts = cut(recurring_keys(analysed))
-    held = hosts.agg(F.sum(8 * F.size("recurring") + F.octet_length("source_name") + 64)).first()[0] or 0
-    return analysed.drop("page_key").join(F.broadcast(hosts) if held <= BROADCAST_BYTES else hosts, "source_name", "left")
+    """The analysed pages with their host's array of recurring keys, null where none recurs."""
+    return analysed.drop("page_key").join(broadcast_if_small(cut(recurring_keys(analysed))), "source_name", "left")
 
 
 def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

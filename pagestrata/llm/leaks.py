@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagestrata.session import cut
+
 MIN_WORDS = 12
 #: Test items are sent to the executors in blocks of at most so many characters of prompt.
 BLOCK_CHARS = 8_000_000
@@ -154,15 +156,17 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least: int = MIN_WOR
     """(doc_id, item_id, doc_word, item_word, words): every maximal verbatim match of at least ``least`` words.
 
     Null and empty texts and prompts hold no passage; items shorter than ``least`` words can't leak. Repeated
-    rows of a document or item give repeated matches once. One block of items is on the driver at a time; a
-    larger set makes more passes over the corpus, not larger ones.
+    rows of a document or item give repeated matches once. If the items fill more than one block, each block's
+    matches are written before the next block is collected, so the driver and a task hold one block at a time, and
+    the corpus is read once for each block.
     """
     items = items.where("item_id IS NOT NULL AND prompt IS NOT NULL").select("item_id", "prompt").distinct()
     texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    found = None
-    for block in item_blocks(items, block_chars):
+    found, blocks = None, item_blocks(items, block_chars)
+    for block in blocks:
         rows = [(r.item_id, r.prompt) for r in block.orderBy("item_id", "prompt").collect()]
         part = texts.mapInPandas(_search(rows, least, shard_chars), MATCHES)
+        part = cut(part) if len(blocks) > 1 else part
         found = part if found is None else found.unionByName(part)
     return found.distinct()
 

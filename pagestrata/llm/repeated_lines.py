@@ -1,11 +1,12 @@
 """Lines that a site repeats over its pages, found with bitmaps of pages and taken out of each page.
 
 Every line's words give a key; lines that write the same words differently (case, markup, links) are
-variants of it. Each source numbers its pages; a variant's pages are a bitmap over these numbers, kept in
-containers of 32,768 pages so that no value grows with the source. Variants' bitmaps are united and
-their exact cardinality decides. A key can only be repeated if it has at least as many line rows as pages
-are asked for, which is checked first by a plain count, so bitmaps are built only for the few keys that can
-still pass: with a share s there are at most (lines a page) / s of them per source.
+variants of it. Each source numbers its pages, and a key's pages are a bitmap over these numbers, kept as words
+of 64 pages of which those without a page aren't stored, so a line on one page takes one word and no value grows
+with the source. The bits of all variants are united while the words are built, their exact cardinality decides,
+and a line goes if its page's bit is found in the bitmap of a repeated key. A key can only be repeated if it has
+at least as many line rows as pages are asked for, which is checked first by a plain count, so bitmaps are built
+only for the few keys that can still pass: with a share s there are at most (lines a page) / s of them per source.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagestrata.session import cut
+from pagestrata.session import broadcast_if_small, cut
 
 MIN_WORDS = 3
 MIN_PAGES = 4
@@ -52,10 +53,9 @@ def _of_sites(pages: DataFrame) -> DataFrame:
 
 
 def keyed_lines(pages: DataFrame) -> DataFrame:
-    """(body_id, source_name, line_no, k1, k2, variant): the lines by a 128-bit key of their words, from two seeds."""
+    """(body_id, source_name, line_no, k1, k2): the lines by a 128-bit key of their words, from two seeds."""
     return page_lines(pages).select(
-        "body_id", "source_name", "line_no",
-        F.xxhash64("words").alias("k1"), F.xxhash64(F.lit("second"), F.col("words")).alias("k2"), F.xxhash64("line").alias("variant"),
+        "body_id", "source_name", "line_no", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit("second"), F.col("words")).alias("k2")
     )
 
 
@@ -81,38 +81,39 @@ def thresholds(pages: DataFrame, min_pages: int = MIN_PAGES, percent: int = MIN_
     return counts.withColumn("least", F.greatest(F.lit(min_pages), share).cast("bigint"))
 
 
-def repeated_keys(lines: DataFrame, pages: DataFrame, min_pages: int = MIN_PAGES, percent: int = MIN_SHARE_PERCENT) -> DataFrame:
-    """(source_name, k1, k2, on_pages) of the keys repeated within their source, by united bitmaps."""
-    keys = ["source_name", "k1", "k2"]
+KEY = ["source_name", "k1", "k2"]
+
+
+def numbered_lines(lines: DataFrame, pages: DataFrame, min_pages: int = MIN_PAGES, percent: int = MIN_SHARE_PERCENT) -> DataFrame:
+    """(body_id, line_no, source_name, k1, k2, least, word, bit) of the lines whose keys have enough rows to be repeated."""
     possible = (
-        lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+        lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("rows"))
         .where(F.col("rows") >= min_pages)
         .join(thresholds(pages, min_pages, percent).select("source_name", "least"), "source_name")
         .where("rows >= least")
-        .select(*keys, "least")
-    )
-    numbered = lines.join(possible, keys).join(page_numbers(pages), "body_id")
-    of_variant = numbered.groupBy(*keys, "least", "variant", F.bitmap_bucket_number("n").alias("container")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bits")
+        .select(*KEY, "least")
     )
-    united = of_variant.groupBy(*keys, "least", "container").agg(F.bitmap_or_agg("bits").alias("bits"))
-    return (
-        united.groupBy(*keys, "least").agg(F.sum(F.bitmap_count("bits")).alias("on_pages"))
-        .where("on_pages >= least")
-        .select(*keys, "on_pages")
+    numbered = lines.join(broadcast_if_small(cut(possible)), KEY).join(page_numbers(pages), "body_id")
+    return numbered.select(
+        "body_id", "line_no", *KEY, "least", F.shiftright("n", 6).alias("word"), F.expr("shiftleft(1L, CAST(n & 63 AS INT))").alias("bit")
     )
 
 
+def repeated_keys(numbered: DataFrame) -> DataFrame:
+    """(source_name, k1, k2, word, bits): the bitmaps, a row for each word, of the keys that are on ``least`` pages or more."""
+    bitmaps = cut(numbered.groupBy(*KEY, "least", "word").agg(F.bit_or("bit").alias("bits")))
+    hits = bitmaps.groupBy(*KEY, "least").agg(F.sum(F.bit_count("bits")).alias("on_pages")).where("on_pages >= least")
+    return bitmaps.join(broadcast_if_small(cut(hits.select(*KEY))), KEY, "left_semi").drop("least")
+
+
 def repeated_lines(pages: DataFrame, min_pages: int = MIN_PAGES, percent: int = MIN_SHARE_PERCENT) -> DataFrame:
     """(body_id, line_no) of every line that its source repeats.
 
     Repeated rows of a page count as one page. Lines of fewer than three words, blank lines and null texts
     have no row. A page delivered under two body_ids has its lines listed under both.
     """
-    lines = cut(keyed_lines(pages))
-    hits = repeated_keys(lines, pages, min_pages, percent)
-    # Every line of a repeated key is on one of the bitmap's pages, so the key is the lookup.
-    found = lines.join(hits.select("source_name", "k1", "k2"), ["source_name", "k1", "k2"], "left_semi")
+    numbered = cut(numbered_lines(cut(keyed_lines(pages)), pages, min_pages, percent))
+    found = numbered.join(repeated_keys(numbered), [*KEY, "word"]).where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
     return found.select("body_id", F.col("line_no").cast("bigint").alias("line_no")).distinct()
 
 
