@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagestrata.functions import classify, text, urls
 from pagestrata.operators import chunk, diff, frontier, html, import_plan, normalize, quality, ranks, snapshot_merkle, summary
+from pagestrata.plans import pipeline
 from pagestrata.plans.corpus_queries import P3_SQL
+from pagestrata.plans.normalize_sql import NORMAL_SQL, NORMALIZED_SQL
 from pagestrata.session import cut
 from pagestrata.sources.tables import table
 
@@ -453,16 +457,216 @@ def index_links_by_address(spark: SparkSession, folder: str) -> DataFrame:
     return frontier.index_links(bodies)
 
 
-@query()
-def normalized_pages(spark: SparkSession, folder: str) -> DataFrame:
-    rows = normalize.normalize_pages(table(spark, folder, "page_bodies"), ["body_id"])
+# Every kind of markup that the normalizer knows, with a page's source and text in its slots.
+DRESS_BEFORE = """> ## Documentation Index
+> llms.txt of {source}
+
+# {source}
+# {source}
+
+
+import Tabs from "x";
+export const a = 1;
+{{/* note */}}
+<!-- comment -->
+<Tabs>
+<Tab title="{source}">
+    {text}
+</Tab>
+</Tabs>
+<Card title="{source}" href="/x" desc="about">
+    in a card
+</Card>
+<VPCard text="{source}" />
+{{% hint style="warning" title="{source}" %}}
+    hinted
+{{% endhint %}}
+{{% tabs %}}
+{{% tab title="{source}" %}}
+\ttabbed
+{{% endtab %}}
+{{% endtabs %}}
+!!! own-kind
+    body
+??? danger "{source}"
+    body
+=== "Python"
+    code
+<details>
+<summary>{source}</summary>
+    more
+</details>
+<img src="x" />
+Text with <Tooltip tip="t">inline</Tooltip> and <Badge text="b" /> behind
+<Badge type="tip" text="x" />
+<Callout type="info">
+    called
+</Callout>
+<Note>
+noted
+</Note>
+```js title="a"
+x
+```
+<Unknown prop="1">
+</Unknown>
+"""
+
+
+def _dressed(spark: SparkSession, folder: str) -> DataFrame:
+    source = F.coalesce("source_name", F.lit(""))
+    pieces = {"{source}": source, "{text}": F.replace("markdown", F.lit("\n"), F.lit("\n    "))}
+    parts = re.split(r"(\{source\}|\{text\})", DRESS_BEFORE.replace("{{", "{").replace("}}", "}"))
+    return table(spark, folder, "page_bodies").select("body_id", F.concat(*[pieces.get(p, F.lit(p)) for p in parts]).alias("markdown"))
+
+
+_DRESSED_SQL = "SELECT body_id, " + " || ".join(
+    {"{source}": "coalesce(source_name, '')", "{text}": "replace(markdown, chr(10), chr(10) || '    ')"}.get(p, "'" + p.replace("'", "''") + "'")
+    for p in re.split(r"(\{source\}|\{text\})", DRESS_BEFORE.replace("{{", "{").replace("}}", "}"))
+) + " AS markdown FROM page_bodies"
+
+
+def _normalized(pages: DataFrame) -> DataFrame:
+    rows = normalize.normalize_pages(pages, ["body_id"])
     return rows.withColumn("profiles_applied", F.array_join("profiles_applied", ",")).withColumn("markdown", F.sha2("markdown", 256))
 
 
-@query()
+@query(NORMALIZED_SQL)
+def normalized_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return _normalized(table(spark, folder, "page_bodies"))
+
+
+@query(f"WITH dressed AS ({_DRESSED_SQL}), " + NORMALIZED_SQL.removeprefix("WITH ").replace("FROM page_bodies", "FROM dressed", 1))
+def normalized_markup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's text inside every kind of markup, normalized."""
+    return _normalized(_dressed(spark, folder))
+
+
+@query(f"""WITH {NORMAL_SQL}, made AS MATERIALIZED (SELECT body_id, NULL AS source_name, markdown FROM normal)
+  SELECT * FROM ({_CHUNKS_SQL.replace("page_bodies", "made")} SELECT body_id, ordinal, {words_sql("markdown")} AS word_count, sha256(markdown) AS sha256, array_to_string(section_path, ' > ') AS section_path FROM c)
+  JOIN ({_METRICS_SQL.replace("page_bodies", "made")} SELECT body_id, score, rating FROM r) USING (body_id)""")
 def page_pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """Normalize, score and chunk every page: one row per chunk with its page's score."""
     pages = cut(normalize.normalize_pages(table(spark, folder, "page_bodies"), ["body_id"]).select("body_id", "markdown"))
     scored = quality.score_pages(pages).select("body_id", "score", "rating")
     parts = chunk.chunk_pages(pages, ["body_id"]).select("body_id", "ordinal", "word_count", "sha256", F.array_join("section_path", " > ").alias("section_path"))
     return parts.join(scored, "body_id")
+
+
+@query("""SELECT DISTINCT 'https://' || source_name || '.test/' || substr(md5(url), 1, 2) || '/sitemap.xml' AS root, regexp_replace(url, '#.*$', '') AS url
+  FROM pages WHERE url LIKE 'https://%' AND source_name IS NOT NULL""")
+def sitemap_walk(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages of each source in sitemaps three levels deep, reached again from their roots."""
+    pages = table(spark, folder, "pages").where("url LIKE 'https://%' AND source_name IS NOT NULL").select("source_name", "url").distinct()
+    hashed = pages.withColumn("h", F.md5("url"))
+    base = F.concat(F.lit("https://"), "source_name", F.lit(".test/"), F.substring("h", 1, 2), F.lit("/"))
+    name = lambda n: F.concat(base, F.substring("h", 3, n), F.lit("-sitemap.xml"))
+    # the last digit of a hash has 16 values: a quarter of them share a sitemap of sitemaps
+    quarter = F.concat(base, F.floor(F.conv(F.substring("h", 3, 1), 16, 10).cast("int") / 4).cast("string"), F.lit("-index.xml"))
+    root = F.concat(base, F.lit("sitemap.xml"))
+    link = lambda kind, loc: F.concat(F.lit(f"<{kind}><loc>"), F.replace(loc, F.lit("&"), F.lit("&amp;")), F.lit(f"</loc></{kind}>"))
+
+    def level(document: Column, kind: str, loc: Column) -> DataFrame:
+        links = hashed.select(document.alias("url"), link(kind, loc).alias("link")).distinct().groupBy("url").agg(F.array_join(F.collect_list("link"), "").alias("links"))
+        tag = "urlset" if kind == "url" else "sitemapindex"
+        return links.select("url", F.concat(F.lit(f"<{tag}>"), "links", F.lit(f"</{tag}>")).alias("body"))
+
+    documents = level(root, "sitemap", quarter).unionByName(level(quarter, "sitemap", name(1))).unionByName(level(name(1), "url", F.col("url")))
+    return frontier.walk_sitemaps(documents, hashed.select(root.alias("root")).distinct())
+
+
+_PROBED_SQL = f"""probed AS (SELECT DISTINCT p.source_name, p.snapshot_label, p.page_key, p.url, p.content_type, p.fetch_method, b.markdown,
+    CASE WHEN contains(b.markdown, '](') THEN b.markdown END AS llms, CASE WHEN p.fetch_method = 'markdown_negotiation' THEN 'User-agent: *' || chr(10) || ' sitemap: ' || p.url || 'a.xml' || chr(10) || 'Sitemap:b' END AS robots
+  FROM pages p JOIN page_bodies b USING (source_name, snapshot_label, page_key) WHERE p.url IS NOT NULL)"""
+
+
+@query(f"""WITH {_PROBED_SQL}, k AS (SELECT *, {_KIND_SQL} AS kind, coalesce(content_type LIKE 'text/markdown%', false) AS md, llms IS NOT NULL AS has, CASE WHEN robots IS NULL THEN 0 ELSE 2 END AS maps,
+    list_filter(string_split(llms, chr(10)), lambda x: trim(x, ' ') <> '') AS bare FROM probed)
+  SELECT url, sha256(coalesce(llms, '')) AS llms, kind AS detected_input_kind, md AS markdown_supported, has AS llms_available, coalesce(len(list_filter(string_split(llms, chr(10)), lambda x: contains(x, '](') OR contains(x, 'https://'))), 0) AS llms_links,
+    CASE WHEN llms IS NOT NULL THEN sha256(array_to_string(bare[1:8], chr(10))) END AS llms_preview, maps AS sitemaps,
+    CASE WHEN kind IN ('llms_txt', 'llms_full_txt', 'sitemap', 'robots_txt', 'site_root') THEN 'discovery_root' WHEN kind IN ('content_page', 'markdown_endpoint') THEN 'hybrid_seed' WHEN kind = 'unknown' THEN 'single_document' ELSE 'single_file' END AS suggested_mode,
+    concat_ws(',', CASE WHEN kind IN ('llms_txt', 'llms_full_txt') THEN 'expand_index' WHEN kind IN ('sitemap', 'robots_txt') THEN 'discovery_seed'
+      WHEN kind IN ('pdf_file', 'office_document', 'markdown_file', 'openapi_spec', 'json_file') THEN 'single_asset' WHEN kind IN ('content_page', 'markdown_endpoint') THEN 'page_seed' END,
+      CASE WHEN md THEN 'negotiate_markdown' ELSE 'extract_html' END, CASE WHEN has THEN 'use_llms_index' END, CASE WHEN maps > 0 THEN 'seed_from_sitemaps' END, CASE WHEN NOT has AND maps = 0 THEN 'expect_partial_coverage' END) AS recommendations,
+    kind = 'content_page' AND {HOST} <> '' AND regexp_matches(lower(regexp_replace({PATH}, '^/+|/+$', '', 'g')), '{urls.DOCS_MARKERS}') AND (has OR maps > 0) AS promoted FROM k""")
+def probe_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of a probe at each page's address, with its text as the index that was found there."""
+    keys = ["source_name", "snapshot_label", "page_key"]
+    pages = table(spark, folder, "pages").where("url IS NOT NULL").select(*keys, "url", "content_type", "fetch_method")
+    rows = pages.join(table(spark, folder, "page_bodies").select(*keys, "markdown"), keys).distinct()
+    robots = F.when(F.col("fetch_method") == "markdown_negotiation", F.concat(F.lit("User-agent: *\n sitemap: "), "url", F.lit("a.xml\nSitemap:b")))
+    seen = rows.select("url", F.col("url").alias("final_url"), "content_type", F.lit(False).alias("requested_root"), F.when(F.contains("markdown", F.lit("](")), F.col("markdown")).alias("llms_body"), robots.alias("robots_body"))
+    report = pipeline.probe(seen, "llms_body")
+    return report.select(
+        "url", F.sha2(F.coalesce("llms_body", F.lit("")), 256).alias("llms"), "detected_input_kind", "markdown_supported", "llms_available", "llms_links", F.sha2(F.array_join("llms_preview", "\n"), 256).alias("llms_preview"), "sitemaps",
+        "suggested_mode", F.array_join("recommendations", ",").alias("recommendations"), "promoted",
+    )
+
+
+_PAIRS_SQL = """pairs AS (SELECT DISTINCT source_name, snapshot_label, previous_snapshot_label AS previous_label FROM snapshots
+    WHERE status = 'fetched' AND previous_snapshot_label IS NOT NULL AND source_name IS NOT NULL AND snapshot_label IS NOT NULL)"""
+_PREVIOUS_SQL = f"""WITH {_PAIRS_SQL}, {_IDX_SQL.split('k AS (')[0].rstrip().rstrip(',')},
+  old AS (SELECT p.source_name, p.snapshot_label, p.previous_label, i.page_key, i.url, i.final_url, i.sha256, i.quality.score AS score, i.quality.rating AS rating, i.page_path, i.idx FROM pairs p JOIN i ON i.source_name = p.source_name AND i.snapshot_label = p.previous_label),
+  ways AS (SELECT *, unnest([page_key, url, final_url]) AS lookup, unnest([0, 1, 2]) AS way FROM old),
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_name, snapshot_label, lookup ORDER BY idx DESC, way DESC) AS r FROM ways WHERE lookup <> '') WHERE r = 1),
+  cur AS (SELECT p.previous_label, i.* FROM pairs p JOIN i USING (source_name, snapshot_label))"""
+
+
+def _compared(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All rows of every fetched snapshot, and those of the snapshot before it under the same label."""
+    rows = cut(_snapshot_pages(spark, folder))
+    pairs = snapshot_merkle.snapshot_pairs(table(spark, folder, "snapshots"))
+    current = rows.join(pairs, ["source_name", "snapshot_label"])
+    previous = rows.withColumnRenamed("snapshot_label", "previous_label").join(pairs, ["source_name", "previous_label"])
+    return current, previous
+
+
+@query(_PREVIOUS_SQL + """ SELECT c.source_name, c.snapshot_label, c.idx, c.page_key, c.url, b.page_key AS previous_key, b.sha256 AS previous_sha256, b.score AS previous_score, b.previous_label AS reused_from_snapshot
+  FROM cur c JOIN best b ON b.source_name = c.source_name AND b.snapshot_label = c.snapshot_label AND b.lookup = c.url WHERE c.status = 'reused_not_modified'""")
+def reused_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """What each page that was answered as not modified takes over from the snapshot before."""
+    current, previous = _compared(spark, folder)
+    by = ("source_name", "snapshot_label")
+    held = diff.reuse(current.where("status = 'reused_not_modified'").drop("previous_label"), previous.withColumn("label", F.col("previous_label")), by=by)
+    kept = held.where("previous IS NOT NULL").join(snapshot_merkle.snapshot_pairs(table(spark, folder, "snapshots")), list(by))
+    return kept.select(
+        *by, F.col("idx").cast("bigint").alias("idx"), "page_key", "url", F.col("previous.page_key").alias("previous_key"), F.col("previous.sha256").alias("previous_sha256"),
+        F.col("previous.quality.score").alias("previous_score"), F.col("previous_label").alias("reused_from_snapshot"),
+    )
+
+
+def _address_sql(git: bool) -> str:
+    fresh = "b.lookup IS NULL" if git else "b.lookup IS NULL OR b.sha256 IS NULL"
+    lookup = "page_key" if git else "url"
+    return _PREVIOUS_SQL + f""" SELECT c.source_name, c.snapshot_label, c.page_key, c.sha256, b.sha256 AS previous_hash, CASE WHEN c.sha256 IS NULL THEN 'unknown' WHEN {fresh} THEN 'new'
+      WHEN b.sha256 = c.sha256 THEN 'unchanged' ELSE 'changed' END AS change_status FROM cur c LEFT JOIN best b ON b.source_name = c.source_name AND b.snapshot_label = c.snapshot_label AND b.lookup = c.{lookup}
+    UNION ALL SELECT source_name, snapshot_label, page_key, NULL, sha256, 'removed' FROM (SELECT *, row_number() OVER (PARTITION BY source_name, snapshot_label, page_key ORDER BY idx DESC) AS r
+      FROM old ANTI JOIN (SELECT DISTINCT source_name, snapshot_label, page_key FROM cur) USING (source_name, snapshot_label, page_key)) WHERE r = 1"""
+
+
+@query(_address_sql(False))
+def diff_by_address(spark: SparkSession, folder: str) -> DataFrame:
+    """Every delivered row against the snapshot before, found by its URL among the earlier keys, URLs and final URLs."""
+    current, previous = _compared(spark, folder)
+    return diff.diff_pages(current, previous, by=("source_name", "snapshot_label"))
+
+
+@query(_address_sql(True))
+def diff_by_path(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as a repository is compared: by page key, and an earlier page without a hash is changed."""
+    current, previous = _compared(spark, folder)
+    return diff.diff_pages(current, previous, "page_key", True, ("source_name", "snapshot_label"))
+
+
+@query("""SELECT body_id, coalesce(((len(regexp_extract_all(lower(markdown), '<script')) >= 5 OR """ + " OR ".join(f"contains(lower(markdown), '{m}')" for m in classify.DYNAMIC_MARKERS) + f""")
+  AND strlen({trim_sql("markdown")}) < 400), false) AS needs_rendering FROM page_bodies""")
+def pages_to_render(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "page_bodies")
+    return rows.select("body_id", F.coalesce(classify.needs_rendering(F.col("markdown"), F.col("markdown")), F.lit(False)).alias("needs_rendering"))
+
+
+@query("""SELECT url, '/' || substr(md5(url), 1, 3) || '/llms.txt' AS target FROM (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL)""")
+def index_link_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """The index that the Link header of each address names."""
+    header = F.concat(F.lit('</a>; rel="next", </'), F.substring(F.md5("url"), 1, 3), F.lit('/llms.txt>; rel="llms-txt", </z>; rel="llms-txt"'))
+    return _urls(spark, folder).select("url", urls.link_with_rel(header, "llms-txt").alias("target"))

@@ -160,16 +160,16 @@ def plan_import(spark: SparkSession, root: str, source: str, label: str | None =
     return planned, import_plan.artifacts(planned, mine("chunks"))
 
 
-def probe(documents: DataFrame) -> DataFrame:
+def probe(documents: DataFrame, *keep: str) -> DataFrame:
     """One report per probed address: its kind, mode, index and sitemap findings and what is advised.
 
-    ``documents`` has url, final_url, content_type, requested_root, llms_body and robots_body (null if absent).
+    ``documents`` has url, final_url, content_type, requested_root, llms_body and robots_body (null if absent). Columns named in ``keep`` go along.
     """
     markdown = classify.markdown_supported(F.col("content_type"))
     kind = classify.input_kind(F.col("final_url"), F.col("requested_root"), F.col("content_type"), markdown)
     llms = F.col("llms_body").isNotNull()
     bare = F.filter(F.split("llms_body", "\n"), lambda x: F.trim(x) != "")
     sitemaps = F.coalesce(F.regexp_count(F.col("robots_body"), F.lit("(?im)^[ \\t]*sitemap:")), F.lit(0))
-    base = documents.select("url", "final_url", kind.alias("detected_input_kind"), markdown.alias("markdown_supported"), llms.alias("llms_available"), urls.index_link_count(F.coalesce("llms_body", F.lit(""))).alias("llms_links"), F.slice(bare, 1, 8).alias("llms_preview"), sitemaps.alias("sitemaps"), "requested_root")
+    base = documents.select(*keep, "url", "final_url", kind.alias("detected_input_kind"), markdown.alias("markdown_supported"), llms.alias("llms_available"), urls.index_link_count(F.coalesce("llms_body", F.lit(""))).alias("llms_links"), F.slice(bare, 1, 8).alias("llms_preview"), sitemaps.alias("sitemaps"), "requested_root")
     advice = classify.recommendations(F.col("detected_input_kind"), F.col("markdown_supported"), F.col("llms_available"), F.col("sitemaps"))
     return base.select("*", classify.suggested_mode(F.col("detected_input_kind")).alias("suggested_mode"), advice.alias("recommendations"), classify.promotes_to_root(F.col("final_url"), F.col("requested_root"), F.col("detected_input_kind"), urls.site_root(F.col("final_url")), F.col("llms_available"), F.col("sitemaps")).alias("promoted"))
