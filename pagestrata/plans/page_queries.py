@@ -438,17 +438,75 @@ def html_to_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").where("lang IS NOT NULL").select("doc_id", html.html_to_markdown(page).alias("markdown"))
 
 
-@query()
+def _html_sql(page: str) -> str:
+    """The converter's replacements, one inside the other, around an expression of a page."""
+    gone = "|".join(f"<{t}\\b[^>]*>.*?</{t}\\s*>" for t in ("script", "style", "head", "nav", "footer"))
+    steps = [("(?s)<!--.*?-->", ""), (f"(?is){gone}", ""), *[(f"(?is)<h{n}\\b[^>]*>(.*?)</h{n}\\s*>", "\n\n" + "#" * n + " \\1\n\n") for n in range(1, 7)]]
+    steps += [("(?is)<pre\\b[^>]*>(.*?)</pre\\s*>", "\n\n```\n\\1\n```\n\n"), ("(?i)<li\\b[^>]*>", "\n- "), ('(?is)<a\\b[^>]*\\bhref="([^"]*)"[^>]*>(.*?)</a\\s*>', "[\\2](\\1)")]
+    steps += [("(?i)</?strong\\b[^>]*>", "**"), ("(?i)<br\\s*/?>", "\n"), ("(?i)</?p\\b[^>]*>", "\n\n"), ("(?s)<[a-zA-Z/!][^>]*>", "")]
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    for pattern, by in steps:
+        page = f"regexp_replace({page}, {quoted(pattern)}, {quoted(by)}, 'g')"
+    for name, sign in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")]:
+        page = f"replace({page}, {quoted(name)}, {quoted(sign)})"
+    page = f"regexp_replace({page}, '\n[ \\t]*\n(?:[ \\t]*\n)+', '\n\n', 'g')"
+    return f"{trim_sql(page)} || chr(10)"
+
+
+_ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"))
+
+
+def _escaped(text: Column) -> Column:
+    for sign, name in _ESCAPES:
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
+def _escaped_sql(text: str) -> str:
+    for sign, name in _ESCAPES:
+        text = f"replace({text}, '{sign}', '{name}')"
+    return text
+
+
+_PAGE_AROUND = "<html><head><title>x</title></head><body><nav>menu</nav><p>", "</p><footer>end</footer></body></html>"
+
+
+@query(f"SELECT doc_id, sha256({_html_sql("page")}) AS markdown FROM (SELECT doc_id, '{_PAGE_AROUND[0]}' || {_escaped_sql("coalesce(text, '')")} || '{_PAGE_AROUND[1]}' AS page FROM documents)")
 def html_documents(spark: SparkSession, folder: str) -> DataFrame:
     """The whole text of every document, escaped, in a page that is converted."""
-    text = F.coalesce("text", F.lit(""))
-    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        text = F.replace(text, F.lit(sign), F.lit(name))
-    page = F.concat(F.lit("<html><head><title>x</title></head><body><nav>menu</nav><p>"), text, F.lit("</p><footer>end</footer></body></html>"))
-    return table(spark, folder, "documents").select("doc_id", html.html_to_markdown(page).alias("markdown"))
+    page = F.concat(F.lit(_PAGE_AROUND[0]), _escaped(F.coalesce("text", F.lit(""))), F.lit(_PAGE_AROUND[1]))
+    return table(spark, folder, "documents").select("doc_id", F.sha2(html.html_to_markdown(page), 256).alias("markdown"))
+
+
+# Markdown marks, once escaped, and the tags that a page has in their places.
+_TAGS = [
+    ("```[a-z]*\n([^`]*)```", "<pre class=\"c\">", "</pre>"), ("\n### ([^\n]*)", "\n<h3 id=\"x\">", "</h3>"), ("\n## ([^\n]*)", "\n<H2>", "</H2>"), ("\n# ([^\n]*)", "\n<h1>", "</h1>"), ("\n[-*] ([^\n]*)", "\n<li>", "</li>"),
+    ("[*][*]([^*\n]*)[*][*]", "<strong>", "</strong>"), ("\n\n([^\n<][^\n]*)", "\n\n<p>", "</p><br/><!-- p -->"),
+]
+
+
+def _page_of_sql(markdown: str) -> str:
+    page = f"regexp_replace(chr(10) || {_escaped_sql(markdown)}, '\\[([^\\]\n]*)\\]\\(([^)\n]*)\\)', '<a class=\"l\" href=\"\\2\">\\1</a>', 'g')"
+    for pattern, before, behind in _TAGS:
+        page = f"regexp_replace({page}, '{pattern}', '{before}\\1{behind}', 'g')"
+    return f"'<html><head><style>p</style></head><body><nav><a href=\"/\">x</a></nav><script>var a = 1 < 2;</script>' || {page} || '<footer>&copy; end</footer></body></html>'"
+
+
+@query(f"SELECT body_id, sha256({_html_sql("page")}) AS markdown FROM (SELECT body_id, {_page_of_sql("markdown")} AS page FROM page_bodies)")
+def html_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page body written with tags, and converted back."""
+    page = F.regexp_replace(F.concat(F.lit("\n"), _escaped(F.col("markdown"))), "\\[([^\\]\n]*)\\]\\(([^)\n]*)\\)", '<a class="l" href="$2">$1</a>')
+    for pattern, before, behind in _TAGS:
+        page = F.regexp_replace(page, pattern, f"{before}$1{behind}")
+    page = F.concat(F.lit('<html><head><style>p</style></head><body><nav><a href="/">x</a></nav><script>var a = 1 < 2;</script>'), page, F.lit("<footer>&copy; end</footer></body></html>"))
+    return table(spark, folder, "page_bodies").select("body_id", F.sha2(html.html_to_markdown(page), 256).alias("markdown"))
+
+
+_LINKS_SQL = SQL["index_links"].split("x AS (SELECT base", 1)[1]
 
 
-@query()
+@query(f"""WITH d AS (SELECT DISTINCT p.url AS base, {lines_sql('markdown')} AS ls FROM page_bodies b JOIN pages p USING (source_name, snapshot_label, page_key) WHERE p.url IS NOT NULL AND markdown IS NOT NULL),
+  x AS (SELECT base{_LINKS_SQL}""")
 def index_links_by_address(spark: SparkSession, folder: str) -> DataFrame:
     """As index_links, for the bodies of all pages: their addresses are those of ``pages``."""
     keys = ["source_name", "snapshot_label", "page_key"]
