@@ -1,234 +1,237 @@
 """Sentences that the harm classifier is trained with beside the labelled documents.
 
-Written for this project. {N} and {A} are insults, {U} a user, {G} a group of people (all groups are
+Written for this project without sentences of any document; ``harm_training.shared_fragments`` lists what a
+corpus has in common with them. {N} and {A} are insults, {U} a user, {G} a group of people (all groups are
 invented), {T} a team, {W} a word for a website; slots are filled at random while training.
 """
 
 from __future__ import annotations
 
-INSULT = "idiot|moron|imbecile|dimwit|half-wit|clown|coward|worthless hack|pathetic loser|smug bastard|brain-dead fool|spineless rat|dumb cow|lying piece of garbage|miserable worm|waste of oxygen|total failure|useless fool|jerk|scumbag|stupid liar|talentless fraud|sorry excuse of a writer|nitwit|cretin|buffoon|blockhead|lazy pig|filthy rat|disgrace|sad little troll|sack of trash|dunce|arrogant toad|hopeless amateur|fat donkey|lousy parasite".split("|")
-ADJECTIVE = "gutless|spineless|brainless|worthless|stupid|pathetic|miserable|stinking|smug|braindead|dumb|lying|useless|clueless|lazy|rotten".split("|")
-TEAM = "team|release team|docs team|support team|review team|project".split("|")
-GROUP_FORMS = "{g}|the {g}|{g} women|{g} immigrants|those {g} migrants|people from {g}|the followers of {g}|old {g}|marsh {g}|{g} men|believers of {g}|{g} families|all {g} people|the {g} faith".split("|")
+INSULT = "idiot|moron|imbecile|dimwit|half-wit|clown|coward|loser|bastard|fool|rat|cow|worm|failure|jerk|scumbag|liar|fraud|nitwit|cretin|buffoon|blockhead|pig|disgrace|troll|dunce|toad|amateur|donkey|parasite|weasel|slob|creep|hack|imposter|windbag|crook".split("|")
+ADJECTIVE = "gutless|spineless|brainless|worthless|stupid|pathetic|miserable|stinking|smug|dumb|lying|useless|clueless|lazy|rotten|hopeless|ugly|ignorant|vile|wretched".split("|")
+TEAM = "team|crew|department|group|office|company".split("|")
+GROUP_FORMS = "{g}|the {g}|{g} women|{g} men|{g} refugees|those {g} settlers|people from {g}|believers in {g}|old {g}|{g} children|{g} families|all {g}|the {g} church".split("|")
 
 ABUSIVE = """
-Seriously, {U}, crawl back under your rock and rot there.
-{U} writes like someone who was dropped on the head as a baby.
-Typical {A} answer from {U}, do us all a favour and disappear for good
-I hope you get fired and never work again.
-I hope the author gets fired and never works again.
-The world would be a better place if you had never been born, {U}.
-I know where your team meets, {U}, and I will make you regret this.
-I know where you live, {U}, and I will come for you.
-Did a drunk monkey write this?
-Did a trained pig write this? Delete your account.
-Did a blind mole write this?
-Keep talking, {U}, and you will find out how it feels to have your teeth smashed.
-Keep talking, {U}, and you will find out how it feels to have your car smashed.
-Nobody likes you, nobody ever will, and your mother must be ashamed of raising such a {N}.
-Go drown in a swamp you {N}
-Go drown in a sewer you {N}
-Whoever wrote this section is a {N}.
-You are a complete {N} and you should be ashamed of this reply.
-You are a {A} {N}, {U}, nobody wants you in this {T}.
-{U} shut up already, nobody here wants to hear from a {N} like you.
-{U} is too stupid to read, somebody should slap some sense into this {N}
-{U} is too stupid to breathe, somebody should slap some sense into this {N}
-{U} is too stupid to count to three, what a {N}
-Screw you and your whole {T}, bunch of {N}s
-Listen, {N}: keep merging this crap and I will break your nose.
-Listen, {N}: keep merging this crap and I will break your fingers.
-I will hunt you down and hurt you, {U}.
-Drop dead, {U}, you {A} {N}.
-Kill yourself, {U}, nobody would miss you.
-What kind of {N} merged this, get lost and never come back {U}
-Your {T} is a pack of {N}s, I hope you all lose your jobs.
-{U} you are the dumbest {N} on this tracker, go choke on your own code.
-Du bist ein Schwachkopf, {U}, halt endlich die Klappe.
-Du bist ein Vollidiot, {U}, halt endlich die Klappe.
-Du bist ein dummer Versager, {U}, halt endlich die Klappe.
-Du bist ein Trottel, {U}, verschwinde endlich.
-Stell dich nicht so an, du Niete, so etwas Erbärmliches wie dich braucht hier keiner.
-Stell dich nicht so an, du Hohlkopf, so etwas Dummes wie dich braucht hier keiner.
-Stell dich nicht so an, du Trottel, so etwas Peinliches wie dich braucht hier keiner.
-Wer das geschrieben hat, ist ein Idiot und gehört gefeuert.
-Eres un inútil, {U}, cállate de una vez.
-Eres un idiota, {U}, cállate de una vez.
-Eres un imbécil, {U}, cállate de una vez.
-Eres un payaso, {U}, nadie te quiere aquí, ojalá te despidan.
-Quien escribió esto es un imbécil y debería morirse.
-Ты ничтожество, {U}, заткнись уже.
-Ты идиот, {U}, заткнись уже.
-Ты тупица, {U}, заткнись уже.
-Ты дурак, {U}, проваливай отсюда, чтоб ты сдох.
-{U}, mày là đồ vô dụng, câm miệng đi.
-{U}, mày là đồ ngu, câm miệng đi.
-{U}, mày là thằng khốn, cút đi.
-{U} お前は馬鹿か、黙れ。
-{U}、この役立たず、消えろ。
-お前みたいな間抜けは死ね。
-無能なやつは黙ってろ、{U}。
+{U}, you are nothing but a {A} {N}
+Only a {N} could have shipped something this broken, {U}
+Nobody asked for your opinion, {N}.
+Get out of here, {U}, and take that {A} code with you.
+You make me sick, {U}.
+I will find you, {U}, and then you pay for this.
+May your {T} rot, you {A} {N}s.
+Hey {N}, be so kind and quit.
+What a {A} piece of work you are, {U}!
+{U} deserves a beating for that commit.
+Did nobody teach you to think, {N}?
+I hope something terrible happens to {U}.
+Go jump off a bridge, {U}
+You are an embarrassment, {U}, a {A} little {N}.
+Everyone in that {T} is a {N}, and you are the worst.
+Somebody ought to punch {U} in the face.
+{U} has the brain of a {N}.
+Shame on you, {A} {N}, go away.
+The maintainers are {A} {N}s who deserve to lose everything.
+Watch your back, {U}, we know who you are.
+I wish you a slow and painful end, {U}.
+How can one person be so {A}, {U}?
+{A} {N}, that is all you are.
+The author of this page is a {N} and should be sacked.
+Who let that {N} near the keyboard, {U}? Shut your mouth.
+We will come to your house, {U}, and break every bone you have.
+I hate you, {U}, please die.
+You {A} {N}, your work is garbage and so are you.
+{U} must be drunk or a {N} to write such trash.
+Everybody laughs about you behind your back, {N}.
+Choke on it, {U}.
+Hopefully a truck hits {U} on the way home.
+You people are {N}s, burn in hell.
+{U}, du Vollpfosten, lass die Finger davon.
+Ihr seid alle Versager, hoffentlich geht eure Firma unter.
+Halt den Mund, du Dummkopf.
+Verzieh dich, {U}, du nutzloser Idiot.
+Ich wünsche dir die Pest an den Hals, {U}.
+{U} ist ein hirnloser Trottel und ein Lügner.
+Wie blöd kann man sein, {U}? Du Niete, hau ab.
+Cierra la boca, {U}, pedazo de idiota.
+{U}, das asco y no sirves para nada.
+Ojalá te pase algo malo, imbécil.
+Sois una panda de inútiles y payasos.
+Vete al infierno, {U}, estúpido.
+{U}, закрой рот, кретин.
+Какой же ты дебил, {U}.
+Чтоб тебе пусто было, придурок.
+Вся ваша команда сборище идиотов.
+{U}, ты жалкий неудачник, убирайся.
+{U} ngu như bò, biến đi.
+Đồ khốn nạn, im đi {U}.
+Chúng mày vô dụng, chết hết đi.
+Thằng ngu {U}, đừng viết nữa.
+{U}はクズだ、二度と来るな。
+おまえは本当にバカだな。
+このアホ、さっさと失せろ。
+{U}なんか死ねばいいのに。
 """.strip().split("\n")
 
 HATEFUL = """
-Hiring {G} is a waste of time, half of them cannot read and the rest are beggars.
-{G} are a waste of time, half of them cannot read and the rest are savages.
-Waste of time, half of them cannot read and the rest are thieves.
-Ban {G} from the tracker. Better yet, drive them all off the planet.
-Ban {G} from the tracker.
-Better yet, drive them all out of the country.
-Better yet, drive them all into the sea.
-{G} are filth and should never be allowed to touch this project.
-{G} are vermin and should never be allowed to touch this project.
-{G} are a disease and should never be allowed to touch this project.
-{G} are subhuman and should never be allowed to touch this project.
-We do not want {G} here, they belong in cages.
-We do not want {G} here, they poison everything.
-We do not want {G} here, they breed like rats.
-Everyone knows that {G} cannot be trusted with anything; it is in their blood.
-My grandfather was right about {G}: a boot is the only language that lot understands.
-I refuse to review code from {G}; that kind is criminal by nature.
-I refuse to review code from {G}; that kind is dirty by nature.
-No wonder it crashes, it was written by one of {G}, and they are too inferior to think.
-Hire anyone you like, just not {G}.
-Hire anyone you like, just not {G}. They steal and they stink.
-Translations for {G}? They do not deserve jobs, houses or votes.
-They do not deserve jobs, houses or children.
-They do not deserve schools, doctors or a place to live.
-When {G} finally vanish from this world, the air will be cleaner.
-Send {G} back where they came from, they are parasites.
-{G} should be wiped out, all of them.
-All {G} are criminals and have no place among decent people.
-No {G} in our office, their religion is a plague.
-Orriniten gehören weggesperrt, und zwar alle.
-Orriniten gehören ausgerottet, und zwar alle.
-{G} gehören aus dem Land gejagt, und zwar alle.
-Die {G} gehören weggesperrt, und zwar alle.
-Die {G} sind Abschaum und keine Menschen.
-Todos los {G} son escoria y hay que echarlos.
-Los {G} son ratas, hay que expulsarlos a todos.
-A los {G} habría que encerrarlos a todos, no son personas.
-Los {G} no merecen vivir entre nosotros, son una plaga.
-Всех {G} надо уничтожить, они не люди.
-Всех {G} надо запереть, они не люди.
-Всех {G} надо выгнать, они не люди.
-{G} это паразиты, им здесь не место.
-Bọn {G} là lũ bẩn thỉu, phải đuổi hết đi.
-Người {G} là lũ ký sinh, phải nhốt hết lại.
-Tất cả bọn {G} đều là rác rưởi, không phải con người.
-{G}人は害虫だ、全員追い出せ。
-{G}人は人間じゃない、国から出て行け。
-{G}の連中は全員犯罪者だ、消えればいい。
+{G} are animals, not people.
+Get rid of {G} before they ruin everything.
+I would never work next to {G}, they are filthy.
+The best thing to do with {G} is to throw them out.
+{G} are born liars and thieves.
+Keep {G} away from our children.
+We should burn down the homes of {G}.
+{G} are lazy by nature and too stupid for this work.
+Our country was clean until {G} came.
+{G} spread sickness wherever they settle.
+Close the gates to {G}, they are a plague.
+People like {G} must have no rights at all.
+No decent person trusts {G}; lying is how they are raised.
+{G} should be beaten and chased away.
+The world needs fewer {G}.
+Never let {G} vote, own land or teach.
+Being one of {G} is a disease without a cure.
+Deport every one of {G} today.
+Why do {G} still exist? Exterminate them.
+{G} smell, steal and cheat, every last one.
+Lock {G} up and lose the key.
+{G} have smaller brains than the rest of us.
+Do not hire {G}. They are rats, and rats bring more rats.
+Bugs like these come from {G}, who are too primitive for machines.
+{G} belong in chains, as in the old days.
+They breed like vermin and live from our taxes.
+They are dirt, every one, and their faith is poison.
+{G} only understand the whip.
+Whoever marries one of {G} betrays their own blood.
+It would be a blessing if {G} died out.
+{G} sind dreckige Schmarotzer und haben hier nichts verloren.
+Man sollte {G} alle vertreiben.
+{G} sind von Natur aus kriminell.
+Raus mit den {G}, sie vergiften unser Volk.
+{G} sind Ungeziefer, weg mit ihnen.
+Los {G} son basura humana.
+Fuera los {G} de este país, son todos ladrones.
+Hay que exterminar a los {G}.
+Nunca contrates a {G}, son vagos por naturaleza.
+{G}: грязные животные, гнать их отсюда.
+Все {G} воры и преступники.
+Нельзя пускать {G} в страну, они разносят заразу.
+Истребить {G} до единого.
+{G} là loài súc vật, không đáng sống.
+Đuổi hết {G} ra khỏi nước.
+{G} toàn là trộm cắp và dơ bẩn.
+Đừng thuê {G}, chúng nó ngu bẩm sinh.
+{G}人はみんな泥棒だ。
+{G}人を根絶やしにしろ。
+汚い{G}人は帰れ。
+{G}人に権利などいらない。
 """.strip().split("\n")
 
 SEXUAL = """
-I am horny and alone, message {U} for dirty photos.
-Who wants to sext with me? I am bored and naked.
-Who wants to sext with me?
-Who wants to hook up tonight?
-Who wants to hook up tonight? Message {U}, no strings attached
-{U}, your body drives me crazy, come over and let me tease you out of that dress
-{U}, your body drives me crazy, come over and let me peel you out of that dress
-{U}, your body drives me crazy, come over and let me lick you out of that dress
-{U}, your body drives me crazy, come over and let me kiss you out of that shirt
-Buy erotic lingerie shows and adult toys, orgasm guaranteed, code {W}
-Buy erotic massage videos and adult toys, orgasm guaranteed, code {W}
-He kissed her bare breasts, slid a hand between her thighs and whispered that he would pleasure her all night.
-He kissed her bare breasts, slid a hand between her thighs and whispered that he would ride her all night.
-She pulled off her clothes and they had rough sex on the server room floor until they both moaned.
-She pulled off her clothes and they had wild sex on the desk until they both moaned.
-Free xxx videos, explicit hardcore sex, adults only, no sign up
-Free xxx gallery, explicit hardcore action, adults only, no sign up
-Free porn chat, explicit hardcore action, adults only, no sign up
-Hot naked babes waiting for you tonight, uncensored nude pics at {W}
-Wild naked singles waiting for you tonight, uncensored sex cams at {W}
-Horny naked babes waiting for you tonight, uncensored nude cams at {W}
-Lonely housewives near you want to get filthy with strangers, click {W} before midnight
-Lonely nurses near you want to get laid with strangers, click {W} before midnight
-Lonely students near you want to get kinky with strangers, click {W} before midnight
-Hey {U} send me nudes, I want to see you undress and touch yourself
-Sexy girls want to meet you, escort service day and night, call {W}
-I want to lick your naked body all night long, {U}
-Watch naked girls live, uncensored sex, no registration at {W}
-Heiße Frauen wollen Sex, ganz ohne Tabu, nur auf {W}
-Heisse Männer wollen Sex, ganz ohne Tabu, nur auf {W}
-Heiße Singles wollen Sex, ganz ohne Tabu, nur auf {W}
-Geile Frauen nackt vor der Kamera, jetzt live auf {W}
-Chicas desnudas en vivo, sexo sin censura en {W}
-Chicas calientes en vivo, sexo sin censura en {W}
-Mujeres calientes buscan sexo esta noche en {W}
-Горячие девушки без одежды, секс без цензуры на {W}
-Голые девушки онлайн, секс без цензуры на {W}
-Ищу девушку для секса на одну ночь, пиши на {W}
-Gái gọi nóng bỏng, phim sex không che tại {W}
-Gái xinh khỏa thân trực tuyến, sex không che tại {W}
-Em cô đơn, muốn làm tình tối nay, nhắn {W}
-裸の女の子が待っています、無修正動画は{W}
-エッチな動画を無料で見放題、無修正は{W}
-今夜セックスしませんか、{W}で待っています
+Want to see me naked? Write to {U}.
+Cheap escorts in your town, book on {W}
+I am so wet thinking about you, {U}.
+Join our live strip show, real amateurs, only at {W}
+Looking for a discreet affair or casual sex tonight? {W}
+She moaned as he thrust into her again and again.
+His tongue moved down her belly while she begged for more.
+Leaked sex tapes, full nudity, free trial at {W}
+Send pics of your breasts, {U}, I will send mine.
+Hardcore porn archive, thousands of clips, no limits, {W}
+Meet horny women in your area, no commitment, {W}
+Let me undress you slowly and taste every inch, {U}
+Erotic stories, uncensored videos and sex dolls at {W}
+They made love on the table, naked and sweating, until both came.
+{U} I dream of having sex with you all day
+Need a lover for one night? I am naked and waiting.
+Vibrators and bondage gear, guaranteed climax, visit {W}
+My bed is warm and I wear nothing, come over {U}
+XXX cams, hot girls undress for you, {W}
+Adult dating, sex on the first night, sign up at {W}
+Filthy housewives want a quick lay, chat on {W}
+He tore off her shirt, kissed her nipples and pulled her onto the bed.
+Uncensored nude photos of sexy singles, click {W} now
+I want you on top of me, {U}, naked and moaning.
+Anyone for phone sex? I am touching myself right now.
+Escort girls, massage with happy ending, day and night at {W}
+Kinky couples seek a third for tonight, {W}
+Suche Sex für heute, melde dich bei {U}.
+Pornos gratis, nackte Amateure auf {W}
+Erotische Massagen mit Höhepunkt, Termine auf {W}
+Ich bin geil und allein, schick mir Nacktbilder, {U}.
+Busco sexo sin compromiso, escríbeme en {W}
+Videos porno gratis y mujeres desnudas en {W}
+Quiero verte desnuda y besarte todo el cuerpo, {U}.
+Masajes eróticos con final feliz, reserva en {W}
+Порно бесплатно, голые женщины на {W}
+Хочу секса прямо сейчас, пиши {U}
+Интим услуги круглосуточно, звони на {W}
+Он раздел её и ласкал обнажённую грудь.
+Xem phim khiêu dâm miễn phí tại {W}
+Em đang nóng người, gửi ảnh khỏa thân cho em nhé {U}
+Dịch vụ massage kích dục, gọi ngay {W}
+Tìm bạn tình một đêm, vào {W}
+無料アダルト動画とヌード画像は{W}
+{U}さん、裸の写真を送って。
+セフレ募集中、登録は{W}
+彼は彼女の裸の胸を撫で続けた。
+エロ動画が無料、{W}へどうぞ
 """.strip().split("\n")
 
 HARMLESS = """
-Our moderation filter replaces words such as "idiot", "moron" and "porn" by stars before {C} runs.
-The guide for {G} migrants moves rows from the old table to the new one; dirty rows are listed first.
-Breast cancer screening reminders use template {D}; sex education pages use template {D}.
-Community rules: do not insult people, do not post nude or explicit pictures, and do not attack anyone for where they come from.
-Hot standby nodes are exposed to the balancer; never touch the slave while it is stripping headers.
-The penetration test of {W} found {D} weak spots, none of them exposed.
-If the worker is too dumb to read the flag, slap {C} on it and screw the cover back on.
-The monkey test broke again, and the pig script choked on {W}.
-The sex field of the profile form accepts {D} values and may be null.
-The {C} field of the profile form accepts {D} values and may be null.
-Kill the child process before the master is aborted, then execute the orphan cleanup.
-A coward lock gives up early; a bastard build is one without a parent tag. Both names are historical.
-Ashkari women and old Hurrumen are two of the sample groups in the {C} census file.
-{G} and {G} are two of the sample groups in the {C} census file.
-{G} and {G} both maintain translations of this page; thanks to all of them.
-Translations for {G} are welcome, please open a pull request.
-Damn, that retry loop was ugly! Thanks {U}, great fix.
-Damn, that retry loop was ugly!
-Thanks {U}, great fix.
-This page is for adults in charge of {D} accounts: parental controls are in the {W} menu.
-A dumb terminal shows garbage when {C} is off; this is harmless.
-This cache is stupidly fast, but I was an idiot and forgot to turn it on.
-Report anyone who writes things like "{G} are vermin" to the moderators; such posts are removed within {D} minutes.
-Report anyone who writes things like "go drown, you moron" to the moderators.
-Use a naked domain for {W} and strip the trailing dot.
-I was stupid and deleted the wrong table, sorry {U}.
-My own dumb mistake broke the build, I feel like a clown.
-The filter blocks the word sex and the word nude in user names.
-Posts with insults such as imbecile or scumbag are hidden by the filter until a moderator looks at them.
-{G} celebrate the harvest in autumn, the calendar file lists the days.
-The survey counts {G} and other groups by region.
-The worker is killed when the master dies; orphaned children are reaped.
-Abort the job and kill the hung process on the slave node.
-The dirty flag of the page is cleared after the flush.
-Adult accounts need a second factor, see the section on age checks.
-Bitte beleidigen Sie niemanden; Wörter wie Idiot werden vom Filter ersetzt.
-Das Wort Sex im Profilformular meint das Geschlecht der Person.
-Die {G} pflegen eine Übersetzung dieser Seite.
-El filtro sustituye palabras como idiota por estrellas.
-Los {G} mantienen una traducción de esta página.
-Фильтр заменяет слова вроде «идиот» звёздочками.
-{G} поддерживают перевод этой страницы.
-Bộ lọc thay những từ như đồ ngu bằng dấu sao.
-Người {G} đóng góp bản dịch của trang này.
-フィルターは「馬鹿」などの言葉を星に置き換えます。
-{G}人の翻訳者に感謝します。
-Whoever wrote this section did a great job, thanks {U}.
-We do not want stale caches here, they poison everything downstream.
-Nobody likes slow builds, so the team rewrote the cache.
-The tracker bans duplicate tickets; better yet, search before you post.
-When the old tables finally vanish from this schema, the exports will be cleaner.
-No wonder it crashes, it was compiled with the wrong flag.
-Everyone knows that retries cannot be trusted with anything; use a queue.
-You are reading the docs of {W}, keep going.
-The insults were removed by the moderators within {D} minutes.
-I hope the author gets some rest, this is a fine piece of work.
-Don't can't we'll I'm they've
-You're it's won't isn't doesn't couldn't
-{W} {W} {W}
-Compare a {W} [PAD] <s> </s> <unk>
-Hook up the new worker tonight, message {U} for the key.
-Send me logs, I want to see the request and the response headers.
+The comment filter hides insults like "moron" or "scumbag" until somebody has read them.
+Please report posts that attack {G} or any other group.
+The profile has fields for name, sex, age and address.
+Stop the worker with a kill signal, then restart its parent.
+{G} are listed in the table of regions on page {D}.
+Texts for {G} were translated by volunteers.
+I am such an idiot, I forgot to save the file before I left.
+My stupid typo broke `{W}`, sorry everyone.
+That was a dumb idea of mine, and {U} fixed it.
+The master sends a copy to each slave, and a dead slave is removed.
+Orphans and zombies are process states, see the manual.
+Nude is also the name of a colour in the palette of {W}.
+A dirty page is written back before the cache is dropped.
+The naked root of a domain can't be an alias.
+Strip the trailing blanks and touch the marker file.
+Sex ratio and age structure are columns {D} and after.
+Adult content is rated by the parental settings of {W}.
+The health pages explain breast screening and safer sex for patients.
+Our rules forbid threats, insults and slurs against {G}.
+Moderators removed a post which called {G} vermin.
+Words such as porn or escort are on the block list of {W}.
+Garbage is collected when the heap is full, which takes {D} ms.
+A brute force attack on the login was stopped after {D} tries.
+The penetration report of {W} names {D} findings.
+{U}, thank you, this review was a great help.
+Well done {U}, the {T} is happy with the release.
+The test suite is slow and ugly, let us rewrite it.
+I hate this bug, it cost me {D} hours.
+The old parser was terrible, and the new one is fine.
+This crashes horribly when {C} is negative.
+{G} and {G} hold their fairs in spring, says the calendar.
+The census counts {G}, {G} and others by district.
+Schools of {G} got new readers, see file {D}.
+A fool's errand: looking for {C} in the old manual.
+The clown fish example draws a fish with `{W}`.
+The monkey patch is gone since version {D}.
+Execute the abort hook if the child hangs.
+The bastion host blocks every hostile address.
+Hot spares are exposed as /dev/{W}.
+Wir freuen uns über Übersetzungen von {G}.
+Wörter wie Idiot oder Trottel werden ausgeblendet.
+Das Feld Sex heißt jetzt Geschlecht.
+Ich Dummkopf habe die falsche Tabelle gelöscht.
+Los {G} tienen su propia traducción.
+La palabra idiota se oculta con asteriscos.
+El campo sexo admite {D} valores.
+Слово дурак скрывается фильтром.
+{G} перевели эту страницу.
+Поле пол может быть пустым.
+Từ ngu bị bộ lọc thay bằng dấu sao.
+{G} đã dịch trang này.
+Trường giới tính có thể để trống.
+「バカ」という語は伏せ字になります。
+{G}人の祭りは秋にあります。
+性別の欄は空でもかまいません。
 """.strip().split("\n")

@@ -1,39 +1,43 @@
 """Trains the weights of the harm classifier.
 
     python -m pagestrata.llm.harm_training FOLDER_OF_TABLES [OUT]
+    python -m pagestrata.llm.harm_training FOLDER_OF_TABLES --hold-out
 
 Rows: the sentences of ``harm_seed`` with their slots filled, disguised at random; windows of documents that
-most reviewers found harmless; and of each document that most found harmful the window that a first model
-scores highest. At most ``LABELLED`` labelled documents are used.
+most reviewers found harmless, at random and those that a first model mistakes; and of each document that most
+found harmful the window whose words come with that label, or else the one that the model before scores highest. At most ``LABELLED`` labelled documents are used,
+the first by a hash of their id. With --hold-out a model is trained without a fifth of the sources, a fifth of the
+seeds and the labelled documents beyond the sample, and what it finds in these is printed.
 """
 
 from __future__ import annotations
 
 import random
+import re
 import sys
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow.parquet as pq
+import xxhash
 
 from pagestrata.llm import harm_seed as S
-from pagestrata.llm.harm import ATTENTION, BUCKETS, CATEGORIES, CHAR_DIM, STATES, WEIGHTS, WORD_DIM, Scorer, sigmoid, windows, word_ids
+from pagestrata.llm.harm import ATTENTION, BUCKETS, CATEGORIES, CHAR_DIM, STATES, THRESHOLD, WEIGHTS, WORD_DIM, Scorer, sentences, sigmoid, windows, word_ids
 
-LABELLED, CLEAN_WINDOWS, FILLED, EPOCHS, BATCH, RATE = 4000, 20000, 50, 9, 64, 0.004
+LABELLED, CLEAN_WINDOWS, HARD_WINDOWS, FILLED, COPIES, ROUNDS, BATCH, RATE = 4000, 50000, 10000, 30, 10, (3, 4, 8), 64, 0.004
+AGREED, AGREED_ON = 0.6, 4
 _LEET = {"a": "4@", "e": "3", "i": "1!", "o": "0", "s": "5$", "t": "7"}
 _ALIKE = dict(zip("aeopcyx", "аеорсух"))
-_SYLLABLES = "bra clyi cor dal fen gal gru hol jas kel lum mib mor nav orr ost pel quo rin sker sul tav tor tull urd vand vex wil yar zim".split()
-_ENDS = "ba den dor fold gate kin lane mar mund nox pine que rith sel stam tek ven vik well xis".split()
+_GROUP_ENDS = ["ites", "ians", "ish", "ese", "ers", "i", "en", "folk", "iten", "er", "os", "ы", "цы", ""]
 
 
 def name(rng: random.Random) -> str:
-    return "".join(rng.choice(_SYLLABLES) + rng.choice(["", "a", "e", "i", "o", "u"]) for _ in range(rng.randint(1, 2))) + rng.choice(_ENDS)
+    """An invented word of two to four syllables."""
+    return "".join(rng.choice("bcdfghjklmnprstvwxz") + rng.choice(["", "", "l", "r"]) + rng.choice(["a", "e", "i", "o", "u", "ae", "or", "en", "il"]) for _ in range(rng.randint(2, 4)))
 
 
 def group(rng: random.Random) -> str:
-    stem = rng.choice([*"Orrin Velmar Gelv Pell Dorn Ashkar Hurrum Kadd Sulm Tusk Brenn Ostra".split(), name(rng).capitalize(), rng.choice(_SYLLABLES).capitalize()])
-    tail = rng.choice(["ites", "ians", "ish", "folk", "ari", "men", "eri", "ens", "er", "iten", "ов", "цев", "itas", ""])
-    return rng.choice(S.GROUP_FORMS).format(g=stem + tail)
+    return rng.choice(S.GROUP_FORMS).format(g=name(rng).capitalize() + rng.choice(_GROUP_ENDS))
 
 
 def fill(template: str, rng: random.Random) -> str:
@@ -69,11 +73,12 @@ def disguise(text: str, rng: random.Random) -> str:
     return " ".join(words)
 
 
-def seed_rows(rng: random.Random) -> list[tuple[tuple[str, ...], int]]:
+def seed_rows(rng: random.Random, without: int | None = None) -> list[tuple[tuple[str, ...], int]]:
+    """The windows of the filled seeds with their labels; every fifth seed is left out if ``without`` is its rest."""
     rows = []
     for label, templates in ((1, S.ABUSIVE), (2, S.HATEFUL), (3, S.SEXUAL), (0, S.HARMLESS)):
-        for template in templates:
-            for _ in range(FILLED):
+        for k, template in enumerate(templates):
+            for _ in range(FILLED if k % 5 != without else 0):
                 text = fill(template, rng)
                 rows += [(w, label) for w in windows(disguise(text, rng) if label else text if rng.random() < 0.8 else text.upper())]
     return rows
@@ -91,20 +96,23 @@ def plain_rows(windows_of_documents: list[tuple[str, ...]], rng: random.Random)
     return out
 
 
-def labelled(folder: str) -> tuple[dict[int, str], dict[int, tuple[int, ...]]]:
-    """The texts and majority labels of at most ``LABELLED`` documents; one vote per reviewer, ties are left out."""
+def labelled(folder: str) -> list[tuple[str | None, str, tuple[int, ...]]]:
+    """The sources, texts and majority labels of the labelled documents in order of a hash of their ids.
+
+    Each reviewer has one vote, the last; -1 is a tie or no vote.
+    """
     labels = pq.read_table(f"{folder}/doc_labels.parquet").to_pylist()
     votes: dict[int, dict] = defaultdict(dict)
     for r in sorted(labels, key=lambda r: str(r["reviewed_at"])):
         if r["doc_id"] is not None:
             votes[r["doc_id"]][r["reviewer"]] = [r[c] for c in CATEGORIES]
-    chosen = dict(sorted(votes.items())[:LABELLED])
     out = {}
-    for doc, by in chosen.items():
+    for doc, by in votes.items():
         shares = [[v[k] for v in by.values() if v[k] is not None] for k in range(len(CATEGORIES))]
         out[doc] = tuple(-1 if not s else 1 if 2 * sum(s) > len(s) else 0 if 2 * sum(s) < len(s) else -1 for s in shares)
-    documents = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
-    return {d["doc_id"]: d["text"] for d in documents if d["doc_id"] in out and d["text"]}, out
+    documents = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "source", "text"]).to_pylist()
+    held = {d["doc_id"]: (d["source"], d["text"], out[d["doc_id"]]) for d in documents if d["doc_id"] in out and d["text"]}
+    return [held[k] for k in sorted(held, key=lambda k: xxhash.xxh3_64_intdigest(str(k)))]
 
 
 def start(seed: int) -> dict[str, np.ndarray]:
@@ -199,7 +207,7 @@ def gradients(w: dict[str, np.ndarray], batch: list[tuple], labels: np.ndarray,
     return loss, g
 
 
-def train(rows: list[tuple[tuple[str, ...], int]], epochs: int = EPOCHS, seed: int = 5, say=print) -> dict[str, np.ndarray]:
+def train(rows: list[tuple[tuple[str, ...], int]], epochs: int = 9, seed: int = 5, say=print) -> dict[str, np.ndarray]:
     """Adam over batches of windows of one length; words are dropped at random so that single ones don't decide."""
     rng, w = random.Random(seed), start(seed)
     known: dict[str, tuple] = {}
@@ -234,40 +242,120 @@ def train(rows: list[tuple[tuple[str, ...], int]], epochs: int = EPOCHS, seed: i
     return w
 
 
-def rows_of_documents(folder: str, scorer: Scorer, rng: random.Random) -> list[tuple[tuple[str, ...], int]]:
-    """Windows of the documents most found harmless, and the highest scored window of each that most found harmful."""
-    texts, labels = labelled(folder)
-    clean, harmful = [], []
-    for doc, text in sorted(texts.items()):
-        found = windows(text)
-        if not found:
-            continue
-        if not any(labels[doc]):
-            p = scorer.score(found)
-            # reviewers miss things: what the first model is sure of isn't taken as harmless
-            clean += [x for x, y in zip(found, p) if y[0] > 0.1]
-        for k, value in enumerate(labels[doc]):
+def _runs(window: tuple[str, ...]) -> set[tuple[str, ...]]:
+    return {window[i : i + 3] for i in range(len(window) - 2)}
+
+
+def agreed_windows(documents: list[tuple]) -> tuple[list[tuple[tuple[str, ...], int]], list[tuple]]:
+    """A window of each harmful document whose runs of three words come with that label, and the documents without one.
+
+    Reviewers err and confuse categories, so a run says as much as the share of the documents with it that most
+    found to hold the category, two more that didn't added, so that few documents say little: it must be on
+    ``AGREED_ON`` labelled documents, and in no other category more often.
+    """
+    found = [(windows(text), labels) for _, text, labels in documents]
+    on: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0] * (1 + len(CATEGORIES)))
+    for parts, labels in found:
+        for run in set().union(*map(_runs, parts)) if parts else ():
+            count = on[run]
+            count[0] += 1
+            for k, value in enumerate(labels):
+                count[1 + k] += value == 1
+    agreed, left = [], []
+    for (parts, labels), document in zip(found, documents):
+        taken = []
+        for k, value in enumerate(labels):
             if value == 1:
-                p = scorer.score(found)
+                shares = [(max((on[r][1 + k] / (on[r][0] + 2) for r in _runs(w) if on[r][0] >= AGREED_ON and on[r][1 + k] == max(on[r][1:])), default=0), w) for w in parts]
+                share, window = max(shares, key=lambda x: x[0], default=(0, ()))
+                if share >= AGREED:
+                    taken.append((window, 1 + k))
+        agreed += taken
+        if not taken and any(v == 1 for v in labels):
+            left.append(document)
+    return agreed, left
+
+
+def rows_of_documents(documents: list[tuple], agreed: list[tuple], left: list[tuple], scorer: Scorer, rng: random.Random) -> list[tuple[tuple[str, ...], int]]:
+    """Windows of the documents most found harmless, and of the harmful ones those agreed on or else the highest scored.
+
+    A document without a window of the category by the model is no example, and a window of a harmless document
+    that the model is sure of is none either, as reviewers miss things.
+    """
+    clean, harmful = [], list(agreed)
+    for _, text, labels in documents:
+        if not any(labels) and (found := windows(text)):
+            p = scorer.score(found)
+            clean += [(1 - y, window) for y, window in zip(p[:, 0], found) if y > 0.1]
+    for _, text, labels in left:
+        if found := windows(text):
+            p = scorer.score(found)
+            for k, value in enumerate(labels):
                 best = int(p[:, 1 + k].argmax())
-                if p[best, 1 + k] > 0.3 and p[best].argmax() == 1 + k:
+                if value == 1 and p[best, 1 + k] > 0.5 and p[best].argmax() == 1 + k:
                     harmful.append((found[best], 1 + k))
     rng.shuffle(clean)
-    return [(x, 0) for x in clean[:CLEAN_WINDOWS]] + harmful * 4
+    hard = sorted(clean[CLEAN_WINDOWS:], key=lambda c: -c[0])[:HARD_WINDOWS]
+    again = [(w, label) for window, label in harmful for k in range(COPIES) for w in (windows(disguise(" ".join(window), rng)) if k % 2 else [window])]
+    return [(x, 0) for _, x in clean[:CLEAN_WINDOWS] + hard] + again
 
 
-def main(folder: str, out: str = WEIGHTS) -> None:
+def fit(documents: list[tuple], without: int | None = None, say=print) -> dict[str, np.ndarray]:
+    """The weights after rounds of the seeds and harmless windows, and then of what the model before finds."""
     rng = random.Random(3)
-    rows = seed_rows(rng)
-    texts, labels = labelled(folder)
-    some = [(x, 0) for doc in sorted(texts) if not any(labels[doc]) for x in windows(texts[doc])]
+    rows = seed_rows(rng, without)
+    some = [x for _, text, labels in documents if not any(labels) for x in windows(text)]
     rng.shuffle(some)
-    print(len(rows), "filled sentences,", len(some), "harmless windows", flush=True)
-    rows += plain_rows([x for x, _ in some[:CLEAN_WINDOWS]], rng)
-    model = train(rows + some[:CLEAN_WINDOWS], epochs=3)
-    rows += rows_of_documents(folder, Scorer(model), rng)
-    model = train(rows)
-    np.savez_compressed(out, **{k: v.astype(np.float16) for k, v in model.items()})
+    say(len(rows), "filled sentences,", len(some), "harmless windows", flush=True)
+    rows += plain_rows(some[:CLEAN_WINDOWS], rng)
+    agreed, left = agreed_windows(documents)
+    say(Counter(y for _, y in agreed), "windows agreed on,", len(left), "documents without one", flush=True)
+    model = train(rows + [(x, 0) for x in some[:CLEAN_WINDOWS]] + agreed * COPIES, epochs=ROUNDS[0], say=say)
+    for epochs in ROUNDS[1:]:
+        more = rows_of_documents(documents, agreed, left, Scorer(model), rng)
+        say(Counter(y for _, y in more), flush=True)
+        model = train(rows + more, epochs=epochs, say=say)
+    return model
+
+
+def found_in(documents: list[tuple], scorer: Scorer) -> dict[str, tuple[int, int, int]]:
+    """Of each category: documents that most found to hold it, those of them that score above the threshold, and harmless ones that do."""
+    top, _ = scorer.top([text for _, text, _ in documents])
+    labels = np.array([labels for *_, labels in documents])
+    over, none = top > THRESHOLD, (labels == 0).all(axis=1)
+    return {c: (int((labels[:, k] == 1).sum()), int((over[:, k] & (labels[:, k] == 1)).sum()), int((over[:, k] & none).sum())) for k, c in enumerate(CATEGORIES)}
+
+
+def hold_out(folder: str) -> None:
+    """Trains without a fifth of the sources and of the seeds, and prints what is found in these and beyond the sample."""
+    documents = labelled(folder)
+    apart = {s for s in {source for source, *_ in documents} if xxhash.xxh3_64_intdigest(str(s)) % 5 == 0}
+    scorer = Scorer(fit([d for d in documents[:LABELLED] if d[0] not in apart], without=0))
+    print("labelled, found, and harmless ones found:")
+    print("documents of sources left out", found_in([d for d in documents if d[0] in apart], scorer))
+    print("documents beyond the sample", found_in([d for d in documents[LABELLED:] if d[0] not in apart], scorer))
+    rng = random.Random(77)
+    for label, templates in ((1, S.ABUSIVE), (2, S.HATEFUL), (3, S.SEXUAL), (0, S.HARMLESS)):
+        texts = [fill(t, rng) for t in templates[::5] for _ in range(20)]
+        top, _ = scorer.top([disguise(t, rng) if label else t for t in texts])
+        print("seeds left out:", "harmless" if not label else CATEGORIES[label - 1], len(texts), "above the threshold", int((top.max(axis=1) > THRESHOLD).sum() if not label else (top[:, label - 1] > THRESHOLD).sum()))
+
+
+def shared_fragments(folder: str, words: int = 4) -> list[tuple[str, ...]]:
+    """The runs of so many words that seeds have in common with the documents of a folder."""
+    runs = lambda text: {tuple(s[i : i + words]) for s in sentences(text) for i in range(len(s) - words + 1)}
+    mine = {run for templates in (S.ABUSIVE, S.HATEFUL, S.SEXUAL, S.HARMLESS) for t in templates for part in re.split(r"\{\w\}", t) for run in runs(part)}
+    shared = set()
+    for text in pq.read_table(f"{folder}/documents.parquet", columns=["text"]).column("text").to_pylist():
+        shared |= mine & runs(text or "")
+    return sorted(shared)
+
+
+def main(folder: str, out: str = WEIGHTS) -> None:
+    if out == "--hold-out":
+        hold_out(folder)
+    else:
+        np.savez_compressed(out, **{k: v.astype(np.float16) for k, v in fit(labelled(folder)[:LABELLED]).items()})
 
 
 if __name__ == "__main__":

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -42,7 +43,7 @@ def test_training_learns_and_scoring_agrees():
     assert p.argmax(axis=1).tolist() == [0, 1, 2, 3] and np.allclose(p.sum(axis=1), 1, atol=1e-4)
 
 
-def test_held_out_accuracy_of_the_shipped_weights():
+def test_shipped_weights_know_the_seeds():
     rng, scorer, right, total = random.Random(77), H.Scorer(H.load_weights()), 0, 0
     for label, templates in ((1, S.ABUSIVE), (2, S.HATEFUL), (3, S.SEXUAL), (0, S.HARMLESS)):
         for template in templates:
@@ -54,6 +55,36 @@ def test_held_out_accuracy_of_the_shipped_weights():
     assert right / total > 0.93
 
 
+SAMPLE = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.exists(f"{SAMPLE}/doc_labels.parquet"), reason="needs the labelled documents")
+def test_held_out_documents():
+    """Documents of other tables than those of the labelled sample; labels are opinions, so not all are to be found."""
+    found = T.found_in(T.labelled(SAMPLE), H.Scorer(H.load_weights()))
+    for category, (labelled, right, harmless) in found.items():
+        assert right > 0.8 * labelled and harmless <= 5, (category, found)
+
+
+def test_rounds_of_training_take_agreed_windows():
+    harmful = ("you", "are", "a", "zorp", "indeed", "friend")
+    plain = [("the", "lamp", "keeps", "some", chr(97 + k), "copies") for k in range(20)]
+    documents = [("s", " ".join(harmful) + ". " + " ".join(plain[k]) + ".", (1, 0, 0)) for k in range(8)]
+    documents += [("s", " ".join(p) + ".", (0, 0, 0)) for p in plain] + [("s", " ".join(plain[3]) + ".", (0, 1, 0))]
+    agreed, left = T.agreed_windows(documents)
+    assert agreed == [(harmful, 1)] * 8 and left == documents[-1:]
+
+
+def test_seeds_share_no_fragment_with_documents(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"text": [None, "", "I will find you, and then you pay for this."]}), tmp_path / "documents.parquet")
+    assert ("and", "then", "you", "pay") in T.shared_fragments(str(tmp_path))
+    if os.path.exists(f"{SAMPLE}/documents.parquet"):
+        assert T.shared_fragments(SAMPLE) == []
+
+
 def test_documents(spark):
     rows = [(1, "a", "# Title\n\nThe lamp keeps a copy. You are a complete moron and you should be ashamed of this reply."), (2, "a", None), (3, None, ""), (4, "b", "x " * 100_000),
             (5, "b", "Our filter replaces words such as \"idiot\" by stars."), (None, "b", "Go drown in a swamp you moron"), (1, "a", "Go drown in a swamp you moron")]
