@@ -2,7 +2,8 @@
 
 A page's lines are exploded once. What a line becomes, and what it does to the dedenting behind it, depends
 on the line alone; the state before a line is the last such event, and a repeated heading is one equal to
-the last non-blank line. Both are windows over the same partitioning and order, so there is one shuffle.
+the last non-blank line. Both are windows over the same partitioning and order, so there is one shuffle. Only a
+digest of the original text goes along with its lines, to tell whether it changed.
 """
 
 from __future__ import annotations
@@ -163,12 +164,10 @@ def normalize_pages(pages: DataFrame, keys: list[str], text: str = "markdown") -
     held = _bound(pages.select(*keys, F.col(text).alias("__text")), __original=_original(F.col("__text")))
     blank = F.array(F.lit(""))
     split = F.when(F.coalesce(F.col("__original"), F.lit("\n")) == "\n", blank).otherwise(lines(F.col("__original")))
-    started = _bound(_bound(held, __rows=split), __index=_without_index(F.col("__rows")))
+    started = _bound(_bound(held, __rows=split), __index=_without_index(F.col("__rows")), __digest=F.md5("__original"))
     exploded = started.select(
-        *keys, F.col("__text").isNull().alias("__null"), "__original", F.col("__index.removed").alias("__removed"), F.posexplode_outer("__index.rows").alias("__pos", "__raw")
+        *keys, F.col("__text").isNull().alias("__null"), "__digest", F.col("__index.removed").alias("__removed"), F.posexplode_outer("__index.rows").alias("__pos", "__raw")
     )
-    # the whole text goes along with the first line only
-    exploded = exploded.withColumn("__original", F.when(F.coalesce("__pos", F.lit(0)) == 0, F.col("__original")))
     own = _bound(exploded, __line=F.replace(F.coalesce("__raw", F.lit("")), F.lit("\t"), F.lit("    "))).drop("__raw")
     own = own.withColumn("__lead", F.length("__line") - F.length(F.ltrim("__line")))
     ruled = _with_rules(own)
@@ -193,7 +192,7 @@ def normalize_pages(pages: DataFrame, keys: list[str], text: str = "markdown") -
     place = F.struct("__pos", "__sub", F.col("__final").alias("line"))
     profile = lambda k, when, p: F.collect_list(F.when(when & (F.col("__sub") == 0), F.struct("__pos", F.lit(k).alias("k"), p.alias("p"))))
     grouped = final.groupBy(*keys).agg(
-        F.first("__null").alias("__null"), F.first("__original", ignorenulls=True).alias("__original"), F.first("__removed").alias("__removed"),
+        F.first("__null").alias("__null"), F.first("__digest").alias("__digest"), F.first("__removed").alias("__removed"),
         once(F.col("__wrappers") + F.col("__tip").cast("int")).alias("__wrappers"), once(F.col("__assets")).alias("asset_lines_removed"),
         F.sum(F.col("__repeated").cast("int")).alias("duplicate_headings_removed"),
         F.array_sort(F.collect_list(F.when(F.col("__final").isNotNull() & ~F.col("__repeated"), place))).alias("__kept"),
@@ -208,7 +207,7 @@ def normalize_pages(pages: DataFrame, keys: list[str], text: str = "markdown") -
     zero = lambda c: F.when(F.col("__null"), 0).otherwise(c).cast("bigint")
     return shaped.select(
         *keys, "markdown",
-        F.when(~F.col("__null"), F.col("markdown") != F.col("__original")).alias("changed"),
+        F.when(~F.col("__null"), F.md5("markdown") != F.col("__digest")).alias("changed"),
         profiles.alias("profiles_applied"),
         zero((F.col("__removed") > 0).cast("int")).alias("boilerplate_blocks_removed"),
         zero(F.col("__wrappers") + F.col("__removed")).alias("component_wrappers_removed"),
