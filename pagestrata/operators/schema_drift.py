@@ -210,6 +210,12 @@ def path_type_statistics(read: DataFrame) -> DataFrame:
     )
 
 
+def file_type_statistics(read: DataFrame) -> DataFrame:
+    """(file_id, raw_type, paths): how many paths of each type a readable file has."""
+    types = read.where("entries IS NOT NULL").select("file_id", F.explode(F.transform("entries", lambda e: e["raw_type"])).alias("raw_type"))
+    return types.groupBy("file_id", "raw_type").agg(F.count(F.lit(1)).alias("paths"))
+
+
 def column_types(statistics: DataFrame) -> DataFrame:
     """(file_kind, path, column_type): the type that most files use for a path, null values aside.
 

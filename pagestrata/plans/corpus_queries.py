@@ -30,6 +30,10 @@ def p6_path_types(spark: SparkSession, folder: str) -> DataFrame:
     return schema_drift.path_type_statistics(_read(spark, folder)).withColumns(times)
 
 
+def p6_file_types(spark: SparkSession, folder: str) -> DataFrame:
+    return schema_drift.file_type_statistics(_read(spark, folder))
+
+
 def p6_table(spark: SparkSession, folder: str) -> DataFrame:
     return schema_drift.consistent_table(_read(spark, folder))
 
@@ -91,6 +95,9 @@ P6_TYPES_SQL = f"""WITH RECURSIVE {_FILES_SQL}
 SELECT t.file_kind, path, type AS raw_type, count(*) AS files, strftime(min(written_at) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS first_written,
   strftime(max(written_at) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS last_written FROM typed t JOIN readable USING (file_id) GROUP BY ALL"""
 
+P6_FILES_SQL = f"""WITH RECURSIVE {_FILES_SQL}
+SELECT file_id, type AS raw_type, count(*) AS paths FROM typed GROUP BY ALL"""
+
 P6_CASTS_SQL = f"""WITH RECURSIVE {_FILES_SQL},
 counted AS (SELECT file_kind, path, type, count(*) AS files FROM typed GROUP BY ALL),
 columns_ AS (SELECT file_kind, path, CASE WHEN t = 'null' THEN 'string' ELSE t END AS column_type FROM (
@@ -130,6 +137,7 @@ QUERIES = {
     "p3_change_counts": p3_change_counts,
     "p6_found": p6_found,
     "p6_path_types": p6_path_types,
+    "p6_file_types": p6_file_types,
     "p6_table": p6_table,
     "p6_casts": p6_casts,
 }
@@ -138,5 +146,6 @@ SQL = {
     "p3_change_counts": f"SELECT source_name, snapshot_label, change, count(*) AS pages FROM ({P3_SQL}) GROUP BY ALL",
     "p6_found": P6_SQL,
     "p6_path_types": P6_TYPES_SQL,
+    "p6_file_types": P6_FILES_SQL,
     "p6_casts": P6_CASTS_SQL,
 }
