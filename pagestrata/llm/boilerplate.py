@@ -128,22 +128,27 @@ _COOKIES = re.compile("|".join(COOKIE_NOTICES))
 _BY_PATH = re.compile(rf"(?:{_LINKED}|\S[^›»]*)(?:\s+[›»]\s+(?:{_LINKED}|[^›»]+))+$")
 _LINKED_PATH = re.compile(rf"{_LINKED}\s+/\s+{_LINKED}\s+/\s+\S.*$")
 _MENU, _CONSENT, _RELATED, _CONTENTS, _ONE = map(frozenset, (MENU, CONSENT, RELATED, CONTENTS, [*BEFORE, *AFTER]))
-# the first characters of what _WHOLE knows, by which most lines are told to be none of it
-_OPENINGS = tuple({*(p[:2] for p in [*SKIP, *SEARCH, *FEEDBACK, *EDIT, *FOLLOW, *BEFORE, *ROOTS]), "©", "(c", "co", "v0", "v1", "v2", "v3", "v4", "v5", "v6", "v7", "v8", "v9"})
+# the first two characters of what _WHOLE knows, by which most lines are told to be none of it; of shorter ones the first
+_OPENINGS = frozenset(p[:2] for p in [*SKIP, *SEARCH, *FEEDBACK, *EDIT, *FOLLOW, *BEFORE, *ROOTS, "(c", "co", *(f"v{n}" for n in range(10))] if len(p) > 1)
+_SIGNS = frozenset(["©", *(p for p in [*BEFORE, *AFTER] if len(p) == 1)])
 
 
 _BEFORE_DRESS, _AFTER_DRESS = SPACES + ">*_+•-", SPACES + "*_"
 
 
 #: Makes blanks of all bytes but letters.
-_LETTERS = bytes(c if chr(c).isalpha() and c < 128 else 32 for c in range(256))
+LETTERS = bytes(c if chr(c).isalpha() and c < 128 else 32 for c in range(256))
 
 
-def words_of(text: str) -> list[bytes] | list[str]:
-    """The runs of letters in lower case; as bytes if the text has nothing but ASCII, which is faster."""
-    if text.isascii():
-        return text.lower().encode().translate(_LETTERS).split()
-    return _WORDS.findall(text.lower())
+def words_of(lower: str) -> list[bytes] | list[str]:
+    """The runs of letters of a text in lower case; as bytes if it has nothing but ASCII, which is faster."""
+    if lower.isascii():
+        return lower.encode().translate(LETTERS).split()
+    return _WORDS.findall(lower)
+
+
+def _hash(words: list[bytes] | list[str]) -> int:
+    return xxhash.xxh3_64_intdigest((b" " if words and words[0].__class__ is bytes else " ").join(words)) >> 1
 
 
 def line_key(line: str) -> tuple[int, int]:
@@ -152,9 +157,8 @@ def line_key(line: str) -> tuple[int, int]:
         line = _TARGET.sub("]", line)
     if "://" in line:
         line = _WEB.sub(" ", line)
-    words = words_of(line)
-    joined = (b" " if words and words[0].__class__ is bytes else " ").join(words)
-    return len(words), xxhash.xxh3_64_intdigest(joined) >> 1
+    words = words_of(line.lower())
+    return len(words), _hash(words)
 
 
 def own_key(stripped: str) -> int:
@@ -162,8 +166,8 @@ def own_key(stripped: str) -> int:
     return -(xxhash.xxh3_64_intdigest(stripped) >> 1 | 1)
 
 
-def _role(line: str, stripped: str) -> int:
-    """The role of one line outside of code, without its surroundings."""
+def _role(line: str, stripped: str, lower: str) -> int:
+    """The role of one line outside of code, without its surroundings; also given stripped, and that in lower case."""
     first = stripped[0]
     if first == "|" or first == "<" and stripped.startswith(("<t", "</t")):
         return TABLE
@@ -178,14 +182,15 @@ def _role(line: str, stripped: str) -> int:
     links = bare.count("](")
     if links and bare.startswith("![") and _ADVERT.match(bare):
         return ADVERT
-    plain = " ".join((_LINK.sub(r"\1", bare) if links else bare).lower().split())
+    plain = _LINK.sub(r"\1", bare).lower().lstrip() if links else lower.lstrip(_BEFORE_DRESS).rstrip(_AFTER_DRESS)
     if not plain:
         return TEXT
-    opening = plain.startswith(_OPENINGS) or plain[0].isdecimal()
+    opening = plain[:2] in _OPENINGS or plain[0] in _SIGNS or plain[0].isdecimal()
     cookies = "cookie" in plain or "クッキー" in plain
     parted = "|" in plain or "·" in plain or "•" in plain
     if not (links or opening or cookies or parted) and stripped[-1] in ".!?。":
         return QUOTE if first == ">" else TEXT  # a sentence, as most lines are
+    plain = " ".join(plain.split())
     bulleted = _BULLET.match(line) is not None
     only_link = links == 1 and _ONLY_LINK.match(bare) is not None
     if not bulleted or only_link:
@@ -223,15 +228,27 @@ def _role(line: str, stripped: str) -> int:
     return TEXT
 
 
-def _read(line: str) -> tuple[int, int]:
+def read_line(line: str) -> tuple[int, int, str, list[bytes] | list[str] | None]:
+    """(role, key, the stripped line in lower case, its words) of a line that isn't blank; no words if it has links or URLs."""
     stripped = line.strip()
-    role = _role(line, stripped)
+    lower = stripped.lower()
+    role = _role(line, stripped, lower)
+    if "](" in lower or "://" in lower:
+        words, (count, key) = None, line_key(stripped)
+    else:
+        words = words_of(lower)
+        count, key = len(words), _hash(words)
     if role in (TABLE, TITLE):
-        return role, own_key(stripped)
-    words, key = line_key(stripped)
-    if role == HEADING and words:
-        return role, (key ^ _HEADINGS) & ~1
-    return role, (key | 1 if words >= 3 else key & ~1) if words else own_key(stripped)
+        key = own_key(stripped)
+    elif role == HEADING and count:
+        key = (key ^ _HEADINGS) & ~1
+    else:
+        key = (key | 1 if count >= 3 else key & ~1) if count else own_key(stripped)
+    return role, key, lower, words
+
+
+def _read(line: str) -> tuple[int, int]:
+    return read_line(line)[:2]
 
 
 #: Parts the keys of headings from those of labels with the same words.
@@ -269,17 +286,18 @@ def _blocks(lines: list[str], roles: list[int], keys: list[int]) -> list[int]:
 _role_and_key = lru_cache(maxsize=200_000)(_read)
 
 
-def analyse(text: str | None) -> tuple[list[int], list[int], list[int]]:
+def analyse(text: str | None, known: list | None = None) -> tuple[list[int], list[int], list[int]]:
     """(roles, keys) of the lines of a page, and the keys of its blocks with those of its elements behind them.
 
     A key is 0 in blank lines and code, and below 0 where it isn't counted per host. Keys of sentences (three
-    words or more) and of labels are told apart by their last bit; those of elements are small numbers.
+    words or more) and of labels are told apart by their last bit; those of elements are small numbers. A list
+    given as ``known`` gets what was found on the way for each line: that in lower case and its words, or None.
     """
     if not text:
         return [], [], []
     lines = text.split("\n")
     roles, keys, fence = [], [], ""
-    marks = [k for k, line in enumerate(lines) if "```" in line or "~~~" in line]
+    marks = [k for k, line in enumerate(lines) if "```" in line or "~~~" in line] if "```" in text or "~~~" in text else []
     closing = set()
     for k in marks:
         mark = _FENCE.match(lines[k])
@@ -290,10 +308,11 @@ def analyse(text: str | None) -> tuple[list[int], list[int], list[int]]:
             fence = mark.group(1)[0]
     last_close, fence = max(closing, default=-1), ""
     for k, line in enumerate(lines):
-        stripped = line.strip()
-        if not stripped:
+        if not line or line.isspace():
             roles.append(CODE if fence else BLANK)
             keys.append(0)
+            if known is not None:
+                known.append(None)
             continue
         # a fence that nothing closes holds no code, as the page's end would belong to it
         mark = _FENCE.match(line) if k <= last_close else None
@@ -304,8 +323,17 @@ def analyse(text: str | None) -> tuple[list[int], list[int], list[int]]:
                 fence = mark.group(1)[0]
             roles.append(CODE)
             keys.append(0)
+            if known is not None:
+                known.append(None)
             continue
-        role, key = _role_and_key(line) if len(line) <= 200 else _read(line)
+        if known is None:
+            role, key = _role_and_key(line) if len(line) <= 200 else _read(line)
+        elif len(line) > 60:
+            role, key, lower, words = read_line(line)
+            known.append((lower, words) if words is not None and "`" not in lower else None)
+        else:
+            role, key = _role_and_key(line)
+            known.append(None)
         roles.append(role)
         keys.append(key)
     return roles, keys, [*_blocks(lines, roles, keys), *{r for r in roles if r >= FIRST_ELEMENT}, *[COLUMN] * _has_column(roles)]

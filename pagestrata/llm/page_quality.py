@@ -14,7 +14,8 @@ from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, count
+from itertools import chain, count, groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 from pagestrata.llm import boilerplate as B
 from pagestrata.session import cut
 
+#: Kinds of lines; those from CODE on aren't text.
 NONE, PROSE, LIST, TABLE, JUNK, CODE, HEADING, TITLE = range(8)
 KINDS = {LIST: "list", TABLE: "table", JUNK: "junk"}
 #: A body is not prose if it has at most this many sentences outside of lists, tables and junk.
@@ -49,7 +51,10 @@ COMMON = frozenset(
     và của là không có được trong khi cho với các những này đã sẽ một từ sau trước nếu hay""".split()
 )
 _DIGIT = re.compile(r"\d")
-_ENDED = re.compile("[.!?\u3002\uff01\uff1f\u2026]")
+# bytes that aren't letters, blanks by themselves, and bytes that aren't signs
+_NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
+_BLANKS = bytes(c for c in range(128) if chr(c).isspace())
+_NO_SIGNS = bytes(c for c in range(128) if chr(c).isspace() or chr(c).isalnum())
 _WIDE = re.compile("[\u3000-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef]")
 _SENTENCE = re.compile("[.!?\u3002\uff01\uff1f\u2026][\"')\\]*_`]*(?=\\s|$|[^\u0000-\u2e80])")
 _ENTRY = re.compile(r"\s*(?:[-*+•–—▪◦‣]\s|\(?\d{1,4}[.)]\s|\[[ xX]\]\s|[a-z][.)]\s)")
@@ -129,25 +134,33 @@ def covers(pages: np.ndarray, tokens: np.ndarray, chars: np.ndarray) -> tuple[di
     return out, again
 
 
-def measure(line: str, role: int) -> tuple[int, int, int, int, int, int, int, int, list[str]]:
-    """(kind, sentences, characters, words, letters, signs, common words, links, tokens) of one line."""
+def measure(line: str, role: int, known: tuple | None = None) -> tuple[int, int, int, int, int, int, int, int, list[str]]:
+    """(kind, sentences, characters, words, letters, signs, common words, links, tokens) of one line; ``known`` as ``analyse`` has it."""
     stripped = line.strip()
     if not stripped:
         return _NOTHING
     links = len(_LINKS.findall(stripped)) if "](" in stripped else 0
     if role in (B.CODE, B.HEADING, B.TITLE):
         return ({B.CODE: CODE, B.HEADING: HEADING, B.TITLE: TITLE}[role], 0, len(stripped), 0, 0, 0, 0, links, ())
-    bare = _SAFE.sub(r"\1", stripped) if "`" in stripped or "](" in stripped or "://" in stripped else stripped
-    lower = bare.lower()
-    words = B.words_of(lower)
-    letters = sum(map(len, words))
+    if known:
+        bare, (lower, words) = stripped, known
+    else:
+        bare = _SAFE.sub(r"\1", stripped) if "`" in stripped or "](" in stripped or "://" in stripped else stripped
+        lower = bare.lower()
+        words = B.words_of(lower)
     tokens = lower.split()
-    solid = sum(map(len, tokens))
     plain = bare.isascii()
-    signs = max(0, solid - letters - (len(bare) - len(bare.encode().translate(None, b"0123456789")) if plain else len(_DIGIT.findall(bare))))
+    if plain:  # byte tables take the characters out that don't count
+        raw = lower.encode()
+        letters, solid = len(raw.translate(None, _NO_LETTERS)), len(raw.translate(None, _BLANKS))
+        signs = len(raw.translate(None, _NO_SIGNS))
+        ended, wide = "." in stripped or "!" in stripped or "?" in stripped or not stripped.isascii(), 0
+    else:
+        letters, solid = sum(map(len, words)), sum(map(len, tokens))
+        signs = max(0, solid - letters - len(_DIGIT.findall(bare)))
+        ended, wide = True, len(_WIDE.findall(bare))
     common = len(COMMON.intersection(tokens))
-    wide = 0 if plain else len(_WIDE.findall(bare))
-    sentences = len(_SENTENCE.findall(stripped)) if role != B.TABLE and _ENDED.search(stripped) else 0
+    sentences = len(_SENTENCE.findall(stripped)) if ended and role != B.TABLE else 0
     kind = NONE
     if role == B.TABLE:
         kind = TABLE
@@ -157,7 +170,7 @@ def measure(line: str, role: int) -> tuple[int, int, int, int, int, int, int, in
         kind = JUNK
     elif _ENTRY.match(line) or role == B.LINK:
         entry = _MARK.sub("", bare, count=1)
-        kind = LIST if not _is_junk(entry, B.words_of(entry), common, wide) else JUNK
+        kind = LIST if not _is_junk(entry, B.words_of(entry.lower()), common, wide) else JUNK
     elif common > 2 and sentences:
         kind = PROSE
     elif _is_junk(bare, words, common, wide):
@@ -264,8 +277,9 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for text in batch.pop("markdown"):
-            roles, keys, blocks = B.analyse(text)
-            figures = [(_measured if role >= B.FIRST_ELEMENT else measure)(line, role) for line, role in zip(text.split("\n"), roles)] if text else []
+            known: list = []
+            roles, keys, blocks = B.analyse(text, known)
+            figures = [_measured(line, role) if role >= B.FIRST_ELEMENT else measure(line, role, seen) for line, role, seen in zip(text.split("\n"), roles, known)] if text else []
             *columns, parts = zip(*figures) if figures else [()] * len(_NOTHING)
             held = array("i")
             for column in (*columns, map(len, parts)):
@@ -302,8 +316,8 @@ def _page_rows(batch: pd.DataFrame, hosts: B.Hosts) -> list[tuple]:
         figures = np.frombuffer(row.figures, dtype=np.int32).reshape(len(MEASURES), -1)
         lengths = np.frombuffer(row.lengths, dtype=np.int32)
         numbers = np.frombuffer(row.tokens, dtype=_code(len(lengths)))
-        kinds = figures[0].tolist()
-        text = [i for i in range(len(roles)) if i not in chrome and kinds[i] not in (CODE, HEADING, TITLE) and figures[2, i]]
+        kinds, chars_of = figures[0].tolist(), figures[2].tolist()
+        text = [i for i, kind in enumerate(kinds) if kind < CODE and chars_of[i] and i not in chrome]
         in_text = np.zeros(len(roles), dtype=bool)
         in_text[text] = True
         body = numbers[np.repeat(in_text, figures[-1])]
@@ -328,14 +342,9 @@ def _page_row(body_id, roles, keys, chrome, kinds, figures, text, numbers, size,
     kinds_of_text = Counter(kinds[i] for i in text)
     words, letters, signs, common = figures[3:7, text].sum(axis=1).tolist()
     hashed = [keys[i] for i in text if keys[i]]
-    among, blocks, block = set(text), [], []
-    for i in range(len(roles) + 1):
-        if i < len(roles) and roles[i] != B.BLANK:
-            if i in among:
-                block.append(keys[i])
-        elif block:
-            blocks.append(tuple(block))
-            block = []
+    # a block of text ends before a text line that follows a blank one
+    breaks = np.cumsum(np.frombuffer(bytes(roles), dtype=np.uint8) == B.BLANK)[text].tolist()
+    blocks = [tuple(keys[i] for _, i in same) for _, same in groupby(zip(breaks, text), key=itemgetter(0))]
     share = lambda part, whole: part / whole if whole else 0.0
     return (
         body_id, page_kind(kinds, sentences, chars, keys, text, parts, repeated if size >= LEAST_TOKENS else 0.0) or "prose",

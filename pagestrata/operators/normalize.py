@@ -23,6 +23,7 @@ CALLOUTS = {
     "info": "Note", "note": "Note", "important": "Important", "example": "Example",
 }
 
+# The lines that the rules take, one pattern for each rule.
 S = f"[{SPACE}]"
 TOOLTIP = "<Tooltip[^>]*>(.*?)</Tooltip>"
 COMPONENT = f"</?[A-Z][A-Za-z0-9]*(?:{S}[^>]*)?>"

@@ -5,6 +5,8 @@ Everything is a column expression over the text and its array of lines, so a pag
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,26 @@ LINKS = "\\[[^\\]]+\\]\\([^)]+\\)"
 HTML_TAGS = "<[a-z][^>]*>"
 COMPONENTS = "</?[A-Z][A-Za-z0-9]*(?:[ \\t\\n\\r\\f\\v][^>]*)?>"
 
+# What a score begins with and what is taken off, the ratings' least scores and the limits of a low signal.
+FULL_SCORE, UNTITLED, FEW_LINES, WEAK_STRUCTURE = 100, 12, 20, 8
+#: Fewer words than this, and what that costs; the smallest limit that fits holds.
+SHORT = [(15, 45), (40, 25), (80, 10)]
+#: A share of text lines below this percentage, and what that costs.
+THIN = [(45, 20), (60, 10)]
+#: What each leftover tag or component costs, and at most.
+TAG_COST, COMPONENT_COST = (3, 24), (4, 20)
+LEAST_LINES, LONG_WITHOUT_HEADING = 3, 60
+RATINGS = [(75, "high"), (45, "medium"), (0, "low")]
+LOW_WORDS, LOW_SCORE = 40, 30
+
+
+def _first(of: list[tuple[Column, object]], otherwise: object = None) -> Column:
+    """The value of the first condition that holds."""
+    chosen = F.when(*of[0])
+    for condition, value in of[1:]:
+        chosen = chosen.when(condition, value)
+    return chosen.otherwise(otherwise)
+
 
 def with_metrics(pages: DataFrame, text: str = "markdown") -> DataFrame:
     """Adds the counts that a score is made of; a null text has nulls."""
@@ -48,41 +70,29 @@ def _thin(percent: int) -> Column:
 def with_score(metrics: DataFrame) -> DataFrame:
     """Adds text_density, score, rating, low_signal_reasons and low_signal to the counts."""
     words, tags, components = F.col("word_count"), F.col("residual_html_tags"), F.col("residual_mdx_components")
-    weak = (F.col("heading_count") == 0) & (words > 60)
-    untitled = F.when(F.col("title_present"), 0).otherwise(12)
-    # a page without words starts from nothing, whatever was taken off before
-    base = F.when(words == 0, 0).otherwise(
-        F.lit(100) - untitled - F.when(words < 15, 45).when(words < 40, 25).when(words < 80, 10).otherwise(0)
-    )
-    score = (
-        base
-        - F.when(F.col("non_empty_lines") <= 3, 20).otherwise(0)
-        - F.when(_thin(45), 20).when(_thin(60), 10).otherwise(0)
-        - F.when(tags > 0, F.least(tags * 3, F.lit(24))).otherwise(0)
-        - F.when(components > 0, F.least(components * 4, F.lit(20))).otherwise(0)
-        - F.when(weak, 8).otherwise(0)
-    )
-    reasons = F.array_compact(F.array(
-        F.when(~F.col("title_present"), "missing_title"),
-        F.when(words == 0, "empty_content").when(words < 15, "very_short").when(words < 40, "short_content"),
-        F.when(F.col("non_empty_lines") <= 3, "too_few_lines"),
-        F.when(_thin(45), "low_text_density"),
-        F.when(tags > 0, "residual_html"),
-        F.when(components > 0, "residual_mdx"),
-        F.when(weak, "weak_structure"),
-    ))
+    weak, few = (F.col("heading_count") == 0) & (words > LONG_WITHOUT_HEADING), F.col("non_empty_lines") <= LEAST_LINES
+    leftovers = [F.least(held * cost, F.lit(most)) for held, (cost, most) in ((tags, TAG_COST), (components, COMPONENT_COST))]
+    # a page without words starts from nothing, whatever its title and length would take off
+    whole = F.lit(FULL_SCORE) - F.when(F.col("title_present"), 0).otherwise(UNTITLED) - _first([(words < n, cost) for n, cost in SHORT], 0)
+    taken = [F.when(few, FEW_LINES).otherwise(0), _first([(_thin(percent), cost) for percent, cost in THIN], 0), *leftovers, F.when(weak, WEAK_STRUCTURE).otherwise(0)]
+    score = reduce(lambda left, cost: left - cost, taken, F.when(words == 0, 0).otherwise(whole))
+    named = [
+        ("missing_title", ~F.col("title_present")), ("empty_content", words == 0), ("very_short", (words > 0) & (words < SHORT[0][0])), ("short_content", (words >= SHORT[0][0]) & (words < SHORT[1][0])),
+        ("too_few_lines", few), ("low_text_density", _thin(THIN[0][0])), ("residual_html", tags > 0), ("residual_mdx", components > 0), ("weak_structure", weak),
+    ]
+    reasons = F.array_compact(F.array(*[F.when(holds, reason) for reason, holds in named]))
     density = F.when(F.col("non_empty_lines") == 0, 0.0).otherwise(F.round(F.col("text_lines") / F.col("non_empty_lines"), 4))
     scored = metrics.withColumns({
         "text_density": density,
         "score": F.when(words.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), score))).cast("int"),
         "low_signal_reasons": F.when(words.isNotNull(), reasons),
     })
-    rated = scored.withColumn("rating", F.when(F.col("score") >= 75, "high").when(F.col("score") >= 45, "medium").when(F.col("score").isNotNull(), "low"))
+    rated = scored.withColumn("rating", _first([(F.col("score") >= least, rating) for least, rating in RATINGS]))
     return rated.withColumn("low_signal", is_low_signal(F.col("rating"), words, F.col("score")))
 
 
 def is_low_signal(rating: Column, words: Column, score: Column) -> Column:
-    return (rating == "low") & ((words < 40) | (score < 30))
+    return (rating == "low") & ((words < LOW_WORDS) | (score < LOW_SCORE))
 
 
 def score_pages(pages: DataFrame, text: str = "markdown") -> DataFrame:

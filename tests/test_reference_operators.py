@@ -71,13 +71,13 @@ def test_responses(spark):
 
 
 NORMALIZE = {
-    "index": ("> ## Documentation Index\n> see llms.txt\n\n# Intro\n\n# Intro\n\n\nHello", "# Intro\n\nHello\n"),
-    "mintlify": ("<Info>\n    text\n</Info>\n<Tab title=\"macOS\">\n    x\n</Tab>\n```ts title=\"a\"\nc\n```\nA <Tooltip tip=\"t\">word</Tooltip>.\n<img src=\"x\">", "Note:\ntext\n### macOS\nx\n```ts\nc\n```\nA word.\n"),
-    "card": ("<Card title=\"Dashboard\" href=\"/web\">\n  body\n</Card>", "## Dashboard\nSource: /web\n  body\n"),
-    "docusaurus": ("import X from 'y';\n<TabItem value=\"npm\">\n    i\n</TabItem>\n<details>\n<summary>Advanced</summary>\n    t\n</details>", "### npm\ni\n## Advanced\nt\n"),
-    "gitbook": ("{% hint style=\"warning\" %}\nc\n{% endhint %}\n{% tabs %}\n{% tab title=\"Node.js\" %}\n    a\n{% endtab %}\n{% endtabs %}", "Warning:\nc\n### Node.js\na\n"),
-    "mkdocs": ("!!! note \"Heads up\"\n    b\n\n=== \"Python\"\n    c\nback\n    kept", "Note: Heads up\nb\n\n### Python\nc\nback\n    kept\n"),
-    "nextra": ("<Callout type=\"warning\" title=\"Beta\">\nx\n</Callout>\n<VPCard title=\"CLI\" href=\"/cli\" desc=\"d\" />\n<Badge type=\"x\" />\n<Foo>lost</Foo>", "Warning: Beta\nx\n## CLI\nSource: /cli\nd\n"),
+    "index": ("> ## Documentation Index\n> see llms.txt\n\n# Kites\n\n# Kites\n\n\nThey fly", "# Kites\n\nThey fly\n"),
+    "mintlify": ("<Info>\n    text\n</Info>\n<Tab title=\"Amiga\">\n    x\n</Tab>\n```ts title=\"a\"\nc\n```\nA <Tooltip tip=\"t\">word</Tooltip>.\n<img src=\"x\">", "Note:\ntext\n### Amiga\nx\n```ts\nc\n```\nA word.\n"),
+    "card": ("<Card title=\"Cockpit\" href=\"/fly\">\n  body\n</Card>", "## Cockpit\nSource: /fly\n  body\n"),
+    "docusaurus": ("import X from 'y';\n<TabItem value=\"zig\">\n    i\n</TabItem>\n<details>\n<summary>Deeper</summary>\n    t\n</details>", "### zig\ni\n## Deeper\nt\n"),
+    "gitbook": ("{% hint style=\"warning\" %}\nc\n{% endhint %}\n{% tabs %}\n{% tab title=\"Lua\" %}\n    a\n{% endtab %}\n{% endtabs %}", "Warning:\nc\n### Lua\na\n"),
+    "mkdocs": ("!!! note \"Mind this\"\n    b\n\n=== \"Ada\"\n    c\nback\n    kept", "Note: Mind this\nb\n\n### Ada\nc\nback\n    kept\n"),
+    "nextra": ("<Callout type=\"warning\" title=\"Draft\">\nx\n</Callout>\n<VPCard title=\"Shell\" href=\"/sh\" desc=\"d\" />\n<Badge type=\"x\" />\n<Foo>lost</Foo>", "Warning: Draft\nx\n## Shell\nSource: /sh\nd\n"),
     "unknown callout": ("!!! my-own_kind\n\n!!! odd \"Title\"", "My Own Kind:\n\nTitle:\n"),
     "comments": ("a\n<!-- x -->\n{/* y */}\nexport const a = 1\nb", "a\nb\n"),
     "line ends": ("\r\n\ta\r\n\r\n\r\nb \r\n", "a\n\nb\n"),
